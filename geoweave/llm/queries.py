@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, poisson_mix, token_count
+from . import exact_dedup, language_id, lm_score, packing, poisson_mix, token_count, warc, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc_zstd": warc.op2_warc_zstd,
+        "op3_lm_lattice": lm_score.op3_lm_lattice,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_poisson_mix": poisson_mix.op6_poisson_mix,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_lossless_webp": webp.op8_lossless_webp,
         "op10_token_count": token_count.op10_token_count,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_poisson_mix": poisson_mix.ORACLE}
+    return {"op2_warc_zstd": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_poisson_mix": poisson_mix.ORACLE}
