@@ -25,19 +25,15 @@ from pyspark.sql import functions as F
 from .common import crc_fold, documents
 from .lattice import Arcs, batches, load_pieces, normalised, scores_as_weights
 from .poisson_mix import unit_hash
+from .textbytes import words_of
 
 MEMO = 250_000
-STRIP = ".,;:!?\"'()[]{}|<>-_*/\\«»…0123456789"
 
 
 def letters_in(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
-def words_of(text: str) -> list[str]:
-    return [w for x in text.lower().split() if (w := x.strip(STRIP))]
-
-
 def piece_model(counts: pd.DataFrame, rounds: int = 3) -> tuple[np.ndarray, float]:
     """Fit piece probabilities to words with counts."""
     pieces = load_pieces()

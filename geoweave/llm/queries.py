@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, lm_score, packing, poisson_mix, token_count, warc, webp
+from . import exact_dedup, language_id, lm_score, packing, poisson_mix, token_count, toxicity, warc, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_pu": toxicity.op1_toxicity_pu,
         "op2_warc_zstd": warc.op2_warc_zstd,
         "op3_lm_lattice": lm_score.op3_lm_lattice,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,

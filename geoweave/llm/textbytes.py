@@ -12,6 +12,8 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+STRIP = ".,;:!?\"'()[]{}|<>-_*/\\«»…0123456789"
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -58,6 +60,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words of a text without the signs and digits around them."""
+    return [w for x in text.lower().split() if (w := x.strip(STRIP))]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))
