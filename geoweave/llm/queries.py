@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, lm_score, packing, poisson_mix, token_count, toxicity, warc, webp
+from . import exact_dedup, language_id, lm_score, ngram_join, packing, poisson_mix, token_count, toxicity, warc, webp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_poisson_mix": poisson_mix.op6_poisson_mix,
         "op7_language_id": language_id.op7_language_id,
         "op8_lossless_webp": webp.op8_lossless_webp,
+        "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
         "op10_token_count": token_count.op10_token_count,
     }
 
