@@ -97,7 +97,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Classifier(names, theta[:k], float(theta[k]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 6000, max_unlabelled: int = 14000) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000) -> Classifier | None:
     """Learn from docs and the labels that they have; nothing but text enters the features."""
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct().join(truth, "doc_id", "left")
@@ -113,14 +113,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [np.unique(np.array([f for w in set(words_of(t or "")) for f in features_of(w)], np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(out, pa.binary())], ["p", "f"])
 
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[bool, list[bytes]] = {True: [], False: []}
+        for batch in parts:
+            for p, f in zip(batch.column("p").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                sides[p].append(f)
+        if sides[True] and sides[False]:
+            own = [[np.frombuffer(f, np.uint32) for f in sorted(sides[k])] for k in (True, False)]
+            model = fit(*own, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([model.features.astype("<u4").tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["f", "w", "bias"])
+
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # about max_positive + max_unlabelled ids
-    rows = sample.select("p", "text").mapInArrow(run, "p boolean, f binary").collect()
-    sides = [[np.frombuffer(r.f, np.uint32) for r in rows if r.p == side] for side in (True, False)]
-    rows.clear()
-    if not sides[0] or not sides[1]:
-        return None
-    order = lambda side: sorted(side, key=lambda x: (len(x), x.tobytes()))
-    return fit(order(sides[0]), order(sides[1]), prior)
+    found = sample.select("p", "text").mapInArrow(run, "p boolean, f binary").repartition(1).mapInArrow(learn, "f binary, w binary, bias double").first()  # the sample fits a task
+    return Classifier(np.frombuffer(found.f, "<u4"), np.frombuffer(found.w, float), found.bias) if found else None
 
 
 class Scorer:
