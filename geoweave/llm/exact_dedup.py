@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, documents
+from .common import ascii_lower, documents, staged
 
 SCHEMA = T.StructType([T.StructField("digest", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("n_rows", T.LongType())])
 
@@ -50,8 +50,9 @@ class DigestIndex:
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch; return a row (digest, id, n) for each text and id of it, n being how often it occurs."""
         ids = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"))
-        ids = ids.groupBy("digest", "id").agg(F.count("*").alias("n"))
-        best = ids.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("n_rows"))
+        ids = staged(ids.groupBy("digest", "id").agg(F.count("*").alias("n")), "dedup-ids")
+        # a table of its own: else the anti-join moves below the aggregate, and a hot digest's rows meet in one task
+        best = staged(ids.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("n_rows")), "dedup-best")
         new = best.join(self.read().hint("merge").select("digest"), "digest", "left_anti")
         self._append(new)
         return ids

@@ -97,7 +97,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Classifier(names, theta[:k], float(theta[k]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 6000, max_unlabelled: int = 13000) -> Classifier | None:
     """Learn from docs and the labels that they have; nothing but text enters the features."""
     truth = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct().join(truth, "doc_id", "left")
