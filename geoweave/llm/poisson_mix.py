@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each source s gets a mean repetition rate r(s) = target share(s) * N / n(s). A document's count is
-the inverse of the Poisson(r) distribution function at u, a number in (0, 1) hashed from seed, id
+the inverse of the Poisson(r) distribution function at u (the places where it is below u), a number in (0, 1) hashed from seed, id
 and the rank of a repeated id's row; the document is exploded by its count and the copies are
 sorted by a second hash, which shuffles them globally. DataFrame functions only.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, staged
 
 SEED = "mix-1"
 
@@ -25,18 +25,24 @@ def unit_hash(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The smallest k with u <= CDF(k; rate). The pmf is exp(k ln r - r - ln k!), ln k! summed on the way."""
+def poisson_cdf(rate: Column) -> Column:
+    """The distribution function of Poisson(rate) at 0, 1, ... as an array, up to where it is 1 in doubles.
+
+    The pmf is exp(k ln r - r - ln k!), ln k! summed on the way.
+    """
     top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    step = lambda acc, k: F.when(
-        acc["cdf"] >= u, acc
-    ).otherwise(F.struct((acc["lf"] + F.log(k.cast("double"))).alias("lf"), (acc["cdf"] + F.exp(k * F.log(rate) - rate - (acc["lf"] + F.log(k.cast("double"))))).alias("cdf"), k.cast("int").alias("k")))
-    start = F.struct(F.lit(0.0).alias("lf"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
-    return F.when(rate <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["k"]))
+
+    def step(acc: Column, k: Column) -> Column:
+        lf = acc["lf"] + F.log(k.cast("double"))
+        c = acc["c"] + F.exp(k * F.log(rate) - rate - lf)
+        return F.struct(lf.alias("lf"), c.alias("c"), F.concat(acc["cs"], F.array(c)).alias("cs"))
+
+    start = F.struct(F.lit(0.0).alias("lf"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("cs"))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cs"])).otherwise(F.array(F.lit(1.0)))
 
 
 def source_rates(docs: DataFrame, source_col: str, targets: dict[str, float] | None = None, alpha: float = 0.5) -> DataFrame:
-    """(source, rate). targets: share by source; without it shares go as n(s)^alpha, which lifts small sources."""
+    """(source, rate, cdf), stored. targets: share by source; without it shares go as n(s)^alpha, which lifts small sources."""
     n = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("__n"))
     if targets is None:
         want = F.pow(F.col("__n").cast("double"), F.lit(float(alpha)))
@@ -46,14 +52,16 @@ def source_rates(docs: DataFrame, source_col: str, targets: dict[str, float] | N
         want = F.coalesce(F.col("__w"), F.lit(0.0))
     n = n.withColumn("__want", want)
     total = n.agg(F.sum("__want").alias("__all_want"), F.sum("__n").alias("__all_n"))
-    return n.crossJoin(F.broadcast(total)).select("__source", (F.col("__want") / F.col("__all_want") * F.col("__all_n") / F.col("__n")).alias("__rate"))  # total: one row
+    rates = n.crossJoin(F.broadcast(total)).select("__source", (F.col("__want") / F.col("__all_want") * F.col("__all_n") / F.col("__n")).alias("__rate"))  # total: one row
+    # stored, so that its size is known: Spark broadcasts it where it is small, else splits skewed sources
+    return staged(rates.withColumn("__cdf", poisson_cdf(F.col("__rate"))), "mix-rates")
 
 
 def replicated(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """docs with __rate, __u, __count and one row per copy (__copy from 1), in no order."""
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     out = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"])).drop("__source")
-    out = out.withColumn("__u", unit_hash(key)).withColumn("__count", poisson_inverse(F.col("__u"), F.col("__rate")))
+    out = out.withColumn("__u", unit_hash(key)).withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).drop("__cdf")
     out = out.filter("__count > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     order = F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy").cast("string"))
     return out.withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long"))
