@@ -59,8 +59,10 @@ class DigestIndex:
 
     def decide(self, ids: DataFrame) -> DataFrame:
         """A row per row of the batch: id, keep_id, group_size, kept, digest."""
-        # both sides are plain exchanges or bucketed scans, so skewed partitions can be split
-        found = ids.join(self.read().hint("merge"), "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        # the digests of the batch with what the index has of them, stored without buckets: joined to it by
+        # plain exchanges, the partition of a hot digest can be split
+        known = staged(ids.select("digest").distinct().join(self.read().hint("merge"), "digest"), "dedup-known")
+        found = ids.join(known, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
         return found.select(F.col("id"), "keep_id", F.col("n_rows").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest")
 
     def drop(self) -> None:
