@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, staged
@@ -39,7 +39,9 @@ from .textbytes import blocks, mixed, shingles
 
 WIDTH, PERCENT = 3, 90
 #: Counters of the sketch, sections it is merged in, cells of the parity vectors, members of a block.
-SKETCH_BITS, SECTIONS, CELLS, BLOCK = 22, 64, 1024, 512
+SKETCH_BITS, SECTIONS, CELLS, BLOCK, FILTER_BITS = 22, 64, 1024, 512, 25
+#: Lists up to this size give pairs at once, compared by parity after repeats are gone; longer ones compare parities in place.
+SHORT = 32
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -135,21 +137,30 @@ def parities(column: pa.Array) -> np.ndarray:
 
 
 def with_first(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each list's most shared set with the others."""
+    """Candidate pairs (a, b) of each list's most shared set with the others, by size and position."""
+    top = lists.groupBy("token").agg(F.max(F.struct("common", (-F.col("id")).alias("minus"), "n", "at")).alias("t"))
+    top = top.select("token", (-F.col("t.minus")).alias("id0"), F.col("t.n").alias("n0"), F.col("t.at").alias("at0"))
+    both = lists.join(top, "token").filter("id <> id0")
+    sized = (100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")) & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("n0") - F.col("at0")) >= percent * (F.col("n") + F.col("n0")))
+    return both.filter(sized).select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
+
+
+def close_parities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity vectors leave them possible."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            c = lambda k: b.column(k).to_numpy()  # noqa: E731, B023
-            ok = possible(c("n"), c("at"), parities(b.column("parity")), c("n0"), c("at0"), parities(b.column("parity0")), percent) if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (b.column("id0"), b.column("id"))], ["a", "b"])
+            if b.num_rows:
+                both = b.column("na").to_numpy() + b.column("nb").to_numpy()
+                least = -(-percent * both // (100 + percent))
+                ok = popcounts(parities(b.column("pa")) ^ parities(b.column("pb"))) <= both - 2 * least
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (b.column("a"), b.column("b"))], ["a", "b"])
 
-    top = lists.groupBy("token").agg(F.max(F.struct("common", (-F.col("id")).alias("minus"), "n", "at", "parity")).alias("t"))
-    top = top.select("token", (-F.col("t.minus")).alias("id0"), F.col("t.n").alias("n0"), F.col("t.at").alias("at0"), F.col("t.parity").alias("parity0"))
-    pairs = lists.join(top, "token").filter("id <> id0").select("id", "n", "at", "parity", "id0", "n0", "at0", "parity0").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
-def between_components(lists: DataFrame, percent: int) -> DataFrame:
+def between_components(lists: DataFrame, percent: int, with_parity: bool) -> DataFrame:
     """Candidate pairs (a, b) of different components in a list, by pairs of its blocks."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +181,8 @@ def between_components(lists: DataFrame, percent: int) -> DataFrame:
 
     def groups(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, at, id_, comp, block, left, right = (table.column(k).to_numpy() for k in ("n", "at", "id", "comp", "block", "left", "right"))
-        parity, begin = parities(table.column("parity")), 0
+        parity = parities(table.column("parity")) if with_parity else np.zeros((len(n), 1), np.uint64)
+        begin = 0
         a_out: list[np.ndarray] = []
         b_out: list[np.ndarray] = []
         for end in ends.tolist():
@@ -192,14 +204,53 @@ def between_components(lists: DataFrame, percent: int) -> DataFrame:
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
 
-    mixed_lists = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = lists.join(mixed_lists, "token", "left_semi").withColumn("cuts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    rest = lists.withColumn("cuts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "id")
-    pairs = dealt.select("token", "left", "right", "block", "id", "n", "at", "comp", "parity").mapInArrow(run, "a long, b long")
+    pairs = dealt.select("token", "left", "right", "block", "id", "n", "at", "comp", *["parity"] * with_parity).mapInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def bits_of(ids: DataFrame) -> np.ndarray:
+    """A table of 2^25 bits, whatever the corpus, with those set that the ids hash to."""
+    part = (1 << FILTER_BITS) // 8 // SECTIONS
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in parts:
+            bits[places(batch.column("id").to_numpy())] = True
+        out = [zlib.compress(x.tobytes(), 1) for x in np.split(np.packbits(bits), SECTIONS)] if bits.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out, pa.binary())], ["section", "bits"])
+
+    def merge(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(part, np.uint8)
+        for x in frame["bits"]:
+            total |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"section": [key[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros((SECTIONS, part), np.uint8)
+    for r in ids.select("id").mapInArrow(run, "section int, bits binary").groupBy("section").applyInPandas(merge, "section int, bits binary").collect():
+        out[r.section] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def places(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in pairs, stored. A bit table keeps most others' texts out of the shuffle; the join is exact."""
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(ids))
+
+    @F.pandas_udf("boolean")
+    def maybe(id_: pd.Series) -> pd.Series:
+        at = places(id_.to_numpy())
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+    return staged(docs.filter("id is not null").filter(maybe("id")).join(ids, "id", "left_semi"), "ngram-texts")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets link."""
 
@@ -227,17 +278,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.filter("rep is not null").select(F.col("rep").alias("id"), "n", "d1", "d2")
     indexed = prefixes(docs.filter("id is not null"), sketch_of(seen.filter("section is not null")), width, percent)
     indexed = staged(indexed.join(reps, ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "prefix", "parity"), "ngram-prefixes")
-    token = indexed.select("id", "n", F.size("prefix").alias("len"), F.posexplode("prefix").alias("at", "token"))
-    sizes = token.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    lists = staged(token.join(sizes, "token"), "ngram-lists")
-    common = lists.groupBy("id").agg((F.count("*") / F.max("len")).alias("common"))
-    found = common.join(indexed.select("id", "parity"), "id")
-    lists = staged(lists.select("token", "size", "id", "n", "at").join(found, "id"), "ngram-members")
-    texts = staged(docs.join(common.select("id"), "id", "left_semi"), "ngram-texts")
-    first = staged(verified(staged(with_first(lists, percent), "ngram-first"), texts, width, percent), "ngram-links")
-    comp = components(first)
-    labelled = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    more = verified(staged(between_components(labelled, percent), "ngram-rest"), texts, width, percent)
+    token = indexed.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    token = token.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1")
+    lists = staged(token, "ngram-lists")
+    share = F.count("*") / (F.max("n") - F.floor((percent * F.max("n") + 99) / 100) + 1)  # of its prefix
+    lists = staged(lists.join(lists.groupBy("id").agg(share.alias("common")), "id"), "ngram-members")
+    sets = indexed.select("id", "n", "parity")
+    pairs = staged(close_parities(with_first(lists, percent), sets, percent), "ngram-first")
+    comp = components(verified(pairs, texts_of(pairs, docs), width, percent))
+    labelled = lists.drop("common").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    labelled = staged(labelled, "ngram-labelled")
+    several = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    rest = staged(labelled.join(several, "token", "left_semi"), "ngram-several")
+    short = close_parities(between_components(rest.filter(F.col("size") <= SHORT), percent, False), sets, percent)
+    long = between_components(rest.filter(F.col("size") > SHORT).join(sets.select("id", "parity"), "id"), percent, True)
+    pairs = staged(short.union(long).distinct(), "ngram-rest")
+    more = verified(pairs, texts_of(pairs, docs), width, percent)
     comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     known = staged(classes.join(comp, classes["rep"] == comp["id"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"), "rows").filter((F.col("rows") > 1) | (F.col("component_id") != F.col("rep"))), "ngram-known")
     out = rows.join(known, ["n", "d1", "d2"], "left")
