@@ -112,6 +112,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, limit: int = RUN_LIMIT) -> pd.DataFrame:
     """Places for the pieces of each length. A row: pieces of that length with rank first + slot * times
     to first + (slot + 1) * times - 1 lie at offset in the sequences from sequence_id on, one each."""
+    limit = max(limit, 4 * capacity)  # so that dividing always leaves something to place
     rows: list[tuple[int, int, int, int, int, int, int]] = []
     left = {s: n for s, n in counts.items() if n}
     placed, sequence, level = dict.fromkeys(left, 0), 0, 0
