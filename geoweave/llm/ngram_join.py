@@ -39,7 +39,7 @@ from .textbytes import blocks, mixed, shingles
 
 WIDTH, PERCENT = 3, 90
 #: Counters of the sketch, sections it is merged in, cells of the parity vectors, members of a block.
-SKETCH_BITS, SECTIONS, CELLS, BLOCK, FILTER_BITS = 22, 64, 1024, 512, 25
+SKETCH_BITS, SECTIONS, CELLS, BLOCK, FILTER_BITS = 22, 64, 1024, 512, 23
 #: Lists up to this size give pairs at once, compared by parity after repeats are gone; longer ones compare parities in place.
 SHORT = 32
 
@@ -62,7 +62,7 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         sketch, any_ = np.zeros(1 << SKETCH_BITS, np.uint32), False
         for batch in parts:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", 1 << 18):
                 h, at = shingles(b.column("text"), width)
                 any_ = True
                 np.add.at(sketch, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -100,7 +100,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
         for batch in parts:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", 1 << 18):
                 h, at = shingles(b.column("text"), width)
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
@@ -212,7 +212,7 @@ def between_components(lists: DataFrame, percent: int, with_parity: bool) -> Dat
 
 
 def bits_of(ids: DataFrame) -> np.ndarray:
-    """A table of 2^25 bits, whatever the corpus, with those set that the ids hash to."""
+    """A table of 2^23 bits, whatever the corpus, with those set that the ids hash to."""
     part = (1 << FILTER_BITS) // 8 // SECTIONS
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for b in blocks(batch, "ta"):
+            for b in blocks(batch, "ta", 1 << 18):
                 (x, xs), (y, ys) = shingles(b.column("ta"), width), shingles(b.column("tb"), width)
                 ok = []
                 for i in range(b.num_rows):

@@ -32,7 +32,7 @@ from .poisson_mix import unit_hash
 from .textbytes import words_of
 
 BEGINNINGS = (4, 5, 6)
-MEMO = 400_000
+MEMO = 150_000
 
 
 def features_of(word: str) -> list[int]:
