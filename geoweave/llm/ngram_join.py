@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, staged
@@ -279,8 +279,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     indexed = prefixes(docs.filter("id is not null"), sketch_of(seen.filter("section is not null")), width, percent)
     indexed = staged(indexed.join(reps, ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "prefix", "parity"), "ngram-prefixes")
     token = indexed.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    token = token.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1")
-    lists = staged(token, "ngram-lists")
+    # counted in the map tasks first and joined back: the join's partition of a frequent token can be split
+    sizes = staged(token.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "ngram-sizes")
+    lists = staged(token.join(sizes, "token"), "ngram-lists")
     share = F.count("*") / (F.max("n") - F.floor((percent * F.max("n") + 99) / 100) + 1)  # of its prefix
     lists = staged(lists.join(lists.groupBy("id").agg(share.alias("common")), "id"), "ngram-members")
     sets = indexed.select("id", "n", "parity")
