@@ -106,8 +106,9 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
                 row = np.repeat(np.arange(len(n)), n)
                 d1, d2 = row_sums(mixed(h), at), row_sums(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), at)
                 cell = (mixed(h + np.uint64(77)) >> np.uint64(54)).astype(np.int64)
-                odd = (np.bincount(row * CELLS + cell, minlength=len(n) * CELLS) & 1).astype(np.uint8)
-                parity = np.packbits(odd.reshape(len(n), CELLS), axis=1)
+                odd = np.zeros(len(n) * CELLS, np.uint8)
+                np.add.at(odd, row * CELLS + cell, 1)  # modulo 256, which keeps parity
+                parity = np.packbits((odd & 1).reshape(len(n), CELLS), axis=1)
                 order = np.lexsort((h, rare[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))
                 place = np.arange(len(h)) - at[row]
                 take = place < (n - (percent * n + 99) // 100 + 1)[row]

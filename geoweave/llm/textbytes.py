@@ -77,10 +77,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        ones = np.full(max(n, 1 << 20), base, np.uint64)
+        ones = np.full(max(n, 1 << 19), base, np.uint64)
         ones[0] = 1
         have = np.cumprod(ones, dtype=np.uint64)
-        if len(have) <= 1 << 22:
+        if len(have) <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
