@@ -15,6 +15,9 @@ from geoweave.llm import exact_dedup, ngram_join, packing, poisson_mix, toxicity
 from geoweave.llm.common import new_folder
 from geoweave.session import workers_find_package
 
+#: Near duplicates: words of a shingle and least Jaccard similarity in percent (op9 has its own contract, 3 and 90).
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 stay; the classifier learns as in op1."""
@@ -32,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id stays; rows without an id stay."""
     workers_find_package(spark)
-    gone = ngram_join.near_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    gone = ngram_join.near_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

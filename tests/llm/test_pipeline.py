@@ -35,3 +35,12 @@ def test_odd_rows(spark, tmp_path):
     kept = corpus_pipeline.exact(spark, docs, str(tmp_path)).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == [2, 4]  # the empty text and null count as equal
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+
+
+def test_near_copies_between_the_limits(spark):
+    """Five words and 0.8, not op9's three and 0.9: 96/111 goes (3 words: 98/113 < 0.9), so does an edit in the middle; 0.79 stays."""
+    first, second, third = ([f"{k}{i}" for i in range(100)] for k in "abc")
+    texts = [first, first + [f"x{i}" for i in range(15)], second, [*second[:50], "y", *second[51:]], third, third + [f"z{i}" for i in range(25)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near(spark, docs, SF).select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == [0, 2, 4, 5]
