@@ -75,8 +75,11 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha:
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per replica of a document, shares of sources going as the root of their size, in shuffled order."""
-    out = poisson_mix(documents(spark, sf_dir).select("doc_id", "source"), extra=True)
+    """One row per replica of a document, shares of sources going as the root of their size, in shuffled order.
+
+    The mixed corpus is stored with all columns of documents, in shuffled order; the rows returned are read from it.
+    """
+    out = staged(poisson_mix(documents(spark, sf_dir), extra=True), "mix-corpus").orderBy("__key", "doc_id", "__copy")
     return out.select("doc_id", "source", F.round("__rate", 9).alias("rate"), F.col("__count").cast("long").alias("n_copies"), F.col("__copy").cast("long").alias("copy_no"), F.col("__key").alias("shuffle_key"))
 
 

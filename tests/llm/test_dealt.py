@@ -66,6 +66,17 @@ def test_poisson_mix(spark):
         assert np.allclose(cdf, want, atol=1e-9) and cdf[-1] > 1 - 1e-9
 
 
+def test_poisson_mix_query_mixes_whole_rows(spark, tmp_path, monkeypatch):
+    table(spark, [f"text {i}" for i in range(40)]).write.parquet(f"{tmp_path}/documents.parquet")
+    stored, staged = {}, poisson_mix.staged
+    monkeypatch.setattr(poisson_mix, "staged", lambda df, name: stored.setdefault(name, staged(df, name)))
+    got = poisson_mix.op6_poisson_mix(spark, str(tmp_path)).collect()
+    whole = stored["mix-corpus"].select("doc_id", "__copy", "text", "lang", "n_chars").collect()
+    assert sorted((r[0], r[1]) for r in whole) == sorted((r.doc_id, r.copy_no) for r in got) and len(got) > 0
+    assert all(r.text == f"text {r.doc_id - 1}" and r.lang == "en" and r.n_chars == len(r.text) for r in whole)
+    assert [r.shuffle_key for r in got] == sorted(r.shuffle_key for r in got)
+
+
 def test_token_count(spark):
     from tokenizers import Tokenizer
 
