@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests compare stages with brute force.
+#: SQL can express neither the classifier nor the packing; tests compare the stages with brute force, all but the classifier's scores.
 ORACLE_SQL = None
 
 

@@ -1,5 +1,12 @@
 """The pipeline's stages on a small corpus against what they must do."""
 
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -44,3 +51,78 @@ def test_near_copies_between_the_limits(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near(spark, docs, SF).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == [0, 2, 4, 5]
+
+
+def brute_near(rows):
+    """Of each component at five-word Jaccard >= 0.8 the row with the smallest id."""
+    sets, root = [], list(range(len(rows)))
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r["doc_id"]), r["doc_id"])
+    return [r for i, r in enumerate(rows) if least[find(i)] == r["doc_id"]]
+
+
+def brute_mix(rows):
+    """Ids with as many copies as Poisson counts say, shares of sources as the root of their size, in order of the keys."""
+    md = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:12], 16)
+    n, out = Counter(r["source"] for r in rows), []
+    for r in rows:
+        rate = math.sqrt(n[r["source"]]) / sum(map(math.sqrt, n.values())) * len(rows) / n[r["source"]]
+        u, c, count = (md(f"mix-1|{r['doc_id']}") + 0.5) / 2**48, math.exp(-rate), 0
+        while c < u:
+            count += 1
+            c += math.exp(count * math.log(rate) - rate - math.lgamma(count + 1))
+        out += [(md(f"mix-1-order|{r['doc_id']}|{k}"), r["doc_id"]) for k in range(1, count + 1)]
+    return [i for _, i in sorted(out)]
+
+
+def test_run_against_brute_force(spark, tmp_path, monkeypatch):
+    """Kept ids per stage and the packed pieces; without labels the classifier keeps all rows."""
+    from tokenizers import Tokenizer
+
+    from geoweave.llm.bytebpe import tokenizer_path
+
+    rng = random.Random(11)
+    texts = [None, "", "one two", "One Two", "a b c d e", "a  b c d E"]
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(rng.randrange(60, 140))]
+        texts += [" ".join(base), " ".join(base).upper(), " ".join(base + ["and", "more"] * rng.choice([4, 7, 20]))]
+        texts.append(" ".join(w if i % 45 else "edit" for i, w in enumerate(base)))
+    texts.append("long text again " * 3000)
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": "ab"[i % 5 == 0] if i % 7 else None, "n_chars": len(t or "")} for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([tuple(r.values()) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda spark, name: f"{tmp_path}/stages")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = lambda stage: sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/stages/{stage}").select("doc_id").collect())
+    assert kept("0-toxicity") == [r["doc_id"] for r in rows]
+    last = {(r["text"] or "").lower(): r for r in rows}
+    rows = sorted(last.values(), key=lambda r: r["doc_id"])
+    assert kept("1-exact_dedup") == [r["doc_id"] for r in rows]
+    near = brute_near(rows)
+    assert kept("2-near_duplicates") == [r["doc_id"] for r in near] and len(near) < len(rows)
+    mixed = brute_mix(near)
+    assert kept("3-mixing") == sorted(mixed)
+    library, want = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), Counter()
+    for i in mixed:
+        own = np.array([*library.encode(texts[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range((len(own) - 1) % 2048 + 1, len(own) + 1, 2048)]
+        want.update((i, k, a, b - a, zlib.crc32(own[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    ends = Counter()
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048
