@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import new_folder, staged
 
 SKIPPABLE = 0x184D2A5D
-ARCHIVE_BYTES, DICTIONARY_BYTES, TRAIN_BYTES, LEVEL = 8 << 20, 64 << 10, 2 << 20, 3
+ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL = 8 << 20, 64 << 10, 3
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "path string, records long, payload_bytes long, file_bytes long"
@@ -46,11 +46,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from the records, evenly picked up to TRAIN_BYTES; None where there is too little to learn from."""
-    step = max(1, -(-sum(map(len, records)) // TRAIN_BYTES))
-    samples = [r[: 128 << 10] for r in records[::step]]
+    """A dictionary from all of the records, whole; None where there is too little to learn from."""
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 20)), samples, k=512, d=8, steps=1, level=LEVEL)
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, records)) // 20)), records, k=512, d=8, steps=1, level=LEVEL)
     except zstandard.ZstdError:
         return None
 

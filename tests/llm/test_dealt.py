@@ -197,6 +197,13 @@ def test_warc(spark):
     assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE and len(list(warc.read_archive(data))) == 300
 
 
+def test_warc_dictionary_learns_from_whole_records(monkeypatch):
+    records, seen = [bytes([65 + i % 26]) * (200 << 10) for i in range(20)], []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, samples, **_: seen.extend(samples))
+    warc.train(records)
+    assert seen == records
+
+
 def word(rng, parts):
     return "".join(rng.choice(parts) for _ in range(rng.randrange(2, 5)))
 
