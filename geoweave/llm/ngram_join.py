@@ -63,10 +63,10 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
         sketch, any_ = np.zeros(1 << SKETCH_BITS, np.uint32), False
         for batch in parts:
             for b in blocks(batch, "text", 1 << 18):
-                h, at = shingles(b.column("text"), width)
+                h, second, at = shingles(b.column("text"), width)
                 any_ = True
                 np.add.at(sketch, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                d1, d2 = row_sums(mixed(h), at), row_sums(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), at)
+                d1, d2 = row_sums(mixed(h), at), row_sums(mixed(second), at)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), signed(d1), signed(d2), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
         if any_:
             counts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SECTIONS)]
@@ -101,10 +101,10 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
         rare = shared.value
         for batch in parts:
             for b in blocks(batch, "text", 1 << 18):
-                h, at = shingles(b.column("text"), width)
+                h, second, at = shingles(b.column("text"), width)
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
-                d1, d2 = row_sums(mixed(h), at), row_sums(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), at)
+                d1, d2 = row_sums(mixed(h), at), row_sums(mixed(second), at)
                 cell = (mixed(h + np.uint64(77)) >> np.uint64(54)).astype(np.int64)
                 odd = np.zeros(len(n) * CELLS, np.uint8)
                 np.add.at(odd, row * CELLS + cell, 1)  # modulo 256, which keeps parity
@@ -258,11 +258,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for b in blocks(batch, "ta", 1 << 18):
-                (x, xs), (y, ys) = shingles(b.column("ta"), width), shingles(b.column("tb"), width)
+                (x, x2, xs), (y, y2, ys) = shingles(b.column("ta"), width), shingles(b.column("tb"), width)
                 ok = []
                 for i in range(b.num_rows):
                     p, q = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
-                    o = len(np.intersect1d(p, q, assume_unique=True))
+                    _, i_, j_ = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+                    o = int((x2[xs[i] + i_] == y2[ys[i] + j_]).sum())
                     ok.append(o > 0 and 100 * o >= percent * (len(p) + len(q) - o))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (b.column("a"), b.column("b"))], ["a", "b"])
 

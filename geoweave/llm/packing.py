@@ -5,17 +5,19 @@ A document is its token ids and an end id, cut into pieces only where it is long
 gap)^2 becomes smallest; bins without a gap are closed and don't count.
 
 Pieces of one length are interchangeable, so the rule runs on the table of counts by length (at
-most 2048 rows, in one short task), and every piece then finds its place by its rank within its
-length. Counts too large to place one by one are divided by m, packed, and each bin stands for m
-bins; what the division leaves, and the bins with the largest gaps, are packed anew. So the task's
-work is bounded by a parameter and every piece is placed, at any size. Ranks are taken in buckets
-of a length, so a length that a third of all pieces have does not meet in one task.
+most 2048 rows, in one short task). It places as many pieces of a length at once as would go to one
+gap in turn, and never less than a 256th of that length's pieces, so the number of steps has a bound
+that does not grow with the corpus; lengths of up to 256 pieces are placed just as one by one. Bins
+with the same gap are kept as ranges of sequence numbers. Every piece then finds its place by its
+rank within its length. Ranks are taken in buckets of a length whose number grows with its pieces.
 
-Token ids are those of the library's byte_bpe_50k.json; the encoder is the faster one for the same
-vocabulary (byte_bpe_50k.tiktoken), and special strings inside texts become their id, as there.
+Token ids are those of the library's byte_bpe_50k.json; the encoder is a faster one for the same
+vocabulary (byte_bpe_50k.tiktoken), and special strings inside texts become their id, as there. A
+text that the faster one rejects (its pattern engine has a bounded stack, which a million blanks in
+a row exceed) is encoded by the library itself.
 
 Defined cases: null and empty texts are the end id alone; repeated ids and rows are pieces of
-their own; null ids are kept; an empty table gives no rows.
+their own, told apart by the column row; null ids are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +36,14 @@ from pyspark.sql.window import Window
 from .bytebpe import DEFAULT, tokenizer_path
 from .common import documents, staged
 
-CAPACITY, END_ID, BUCKETS = 2048, 0, 256
-#: Pieces that one run of the rule places one by one.
-RUN_LIMIT = 300_000
-PLAN = "length long, level long, first long, times long, slot long, sequence_id long, offset long"
+CAPACITY, END_ID = 2048, 0
+#: Steps that a length's pieces take at least, where it has as many; least buckets of a length, pieces of a bucket.
+STEPS, BUCKETS, BUCKET_ROWS = 256, 256, 20_000
+#: Blocks of a length's ranks, by which pieces meet their ranges.
+RANK_BLOCKS = 4096
+PLAN = "length long, first long, n long, sequence_id long, offset long"
 
-_encoders: dict[tuple[str, str], object] = {}
+_encoders: dict[tuple[str, ...], object] = {}
 
 
 def encoder(ranks_path: str, json_path: str):
@@ -59,117 +63,139 @@ def encoder(ranks_path: str, json_path: str):
     return _encoders[key]
 
 
+def library(json_path: str):
+    if (json_path,) not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[json_path,] = Tokenizer.from_file(json_path)
+    return _encoders[json_path,]
+
+
+def token_ids(text: str, ranks_path: str, json_path: str) -> list[int]:
+    """The library's ids of a text, without added special tokens."""
+    try:
+        return encoder(ranks_path, json_path).encode(text, allowed_special="all")
+    except ValueError:
+        return library(json_path).encode(text, add_special_tokens=False).ids
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, name: str = DEFAULT) -> DataFrame:
-    """(doc_id, row, piece, start, length, ids_crc32); row tells rows of a repeated id apart within a task's batch."""
+    """(doc_id, row, piece, start, length, ids_crc32); row numbers the rows of docs, so repeated ids stay apart. To be stored before use."""
     ranks, spec = tokenizer_path(f"{name}.tiktoken"), tokenizer_path(f"{name}.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, spec)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array(enc.encode(text.as_py() or "", allowed_special="all") + [end_id], "<u4")
+            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                ids = np.array([*token_ids(text.as_py() or "", ranks, spec), end_id], "<u4")
                 at, cut = 0, len(ids) % capacity or capacity
                 for k in range(-(-len(ids) // capacity)):
-                    rows.append((doc, k, at, cut - at, zlib.crc32(ids[at:cut].tobytes())))
+                    rows.append((doc, row, k, at, cut - at, zlib.crc32(ids[at:cut].tobytes())))
                     at, cut = cut, cut + capacity
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Pack sizes in the given order; the bins as lists of sizes."""
-    count = np.zeros(capacity + 1, np.int64)  # open bins by gap
-    open_: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[list[int]] = []
-    gaps = np.arange(capacity + 1)
-    for s in sizes.tolist():
-        # change of the sum: leaving gap g: 1 - 2 N(g); entering h = g - s: 1 + 2 N(h), nothing for h = 0
-        g = gaps[s:]
-        change = np.where(g == s, 0, 1 + 2 * count[: capacity + 1 - s]) + 1 - 2 * count[s:]
-        change[count[s:] == 0] = np.iinfo(np.int64).max
-        fresh = 0 if s == capacity else 1 + 2 * int(count[capacity - s])
-        best = int(np.argmin(change))
-        if change[best] < fresh or (change[best] == fresh and change[best] != np.iinfo(np.int64).max):
-            gap = best + s
-            b = open_[gap].pop()
-            count[gap] -= 1
-        else:
-            gap, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(s)
-        if gap > s:
-            open_[gap - s].append(b)
-            count[gap - s] += 1
-    return bins
-
-
-def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, limit: int = RUN_LIMIT) -> pd.DataFrame:
-    """Places for the pieces of each length. A row: pieces of that length with rank first + slot * times
-    to first + (slot + 1) * times - 1 lie at offset in the sequences from sequence_id on, one each."""
-    limit = max(limit, 4 * capacity)  # so that dividing always leaves something to place
-    rows: list[tuple[int, int, int, int, int, int, int]] = []
-    left = {s: n for s, n in counts.items() if n}
-    placed, sequence, level = dict.fromkeys(left, 0), 0, 0
-    if n := left.pop(capacity, 0):
-        rows.append((capacity, 0, 0, n, 0, 0, 0))
-        sequence, level = n, 1
-    while left:
-        times = -(-sum(left.values()) // limit)
-        bins = sum_of_squares(np.repeat(*np.array([(s, left[s] // times) for s in sorted(left, reverse=True)]).T), capacity)
-        if times > 1:  # keep full bins, and of the others the fullest until half of the pieces lie
-            bins.sort(key=lambda b: capacity - sum(b))
-            lie, keep = 0, 0
-            while keep < len(bins) and (sum(bins[keep]) == capacity or 2 * lie < limit):
-                lie, keep = lie + len(bins[keep]), keep + 1
-            bins = bins[:keep]
-        first, slot = dict(placed), dict.fromkeys(left, 0)
-        for b in bins:
-            at = 0
-            for s in b:
-                rows.append((s, level, first[s], times, slot[s], sequence, at))
-                at, slot[s] = at + s, slot[s] + 1
-            sequence += times
-        for s, k in slot.items():
-            placed[s] += k * times
-            left[s] -= k * times
-        left, level = {s: n for s, n in left.items() if n}, level + 1
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", "monotonically_increasing_id() row", f"`{text_col}` text")
+    return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+
+
+class Bins:
+    """Open bins by gap, as ranges of sequence numbers, and the sum-of-squares rule over them."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.made = capacity, 0
+        self.count = np.zeros(capacity + 1, np.int64)  # open bins by gap
+        self.ranges: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, bins)
+
+    def best(self, s: int) -> tuple[int, int]:
+        """The gap (capacity: a fresh bin) for a piece of size s, and how many such pieces in a row would take it.
+
+        Leaving gap g changes the sum by 1 - 2 N(g), entering h = g - s by 1 + 2 N(h), nothing for h = 0. Each
+        piece adds 4 to its gap's change (2 to a fresh bin's) and takes at most 2 from that of any other.
+        """
+        n, c = self.count, self.capacity
+        change = 2 - 2 * n[s:] + 2 * n[: c + 1 - s]  # by gap from s on; the last is that of a fresh bin
+        change[0] = 1 - 2 * n[s]
+        after = change.copy()  # as if no gap were empty: one that fills up now may be next
+        change[n[s:] == 0] = np.iinfo(np.int64).max // 2
+        change[c - s] = 1 + 2 * n[c - s] if s < c else 0
+        k = int(np.argmin(change))
+        own, change[k] = int(change[k]), np.iinfo(np.int64).max // 2
+        second = int(change.min())
+        if k >= s and k - s < len(after):
+            second = min(second, int(after[k - s]))  # the gap that the piece leaves behind
+        return k + s, max(1, (second - own + 5) // 6)
+
+    def take(self, gap: int, n: int) -> list[tuple[int, int]]:
+        """Ranges of n bins with that gap, which are no longer open."""
+        if gap == self.capacity:
+            self.made += n
+            return [(self.made - n, n)]
+        out, self.count[gap] = [], self.count[gap] - n
+        while n:
+            first, m = self.ranges[gap].pop()
+            if m > n:
+                self.ranges[gap].append((first + n, m - n))
+                m = n
+            out.append((first, m))
+            n -= m
+        return out
+
+    def put(self, gap: int, ranges: list[tuple[int, int]]) -> None:
+        if gap:
+            self.ranges[gap] += ranges
+            self.count[gap] += sum(n for _, n in ranges)
+
+
+def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> pd.DataFrame:
+    """Places for the pieces of each length, longest first. A row: its pieces with ranks from first on, n of
+    them, lie at offset in the sequences from sequence_id on, one each."""
+    bins, rows = Bins(capacity), []
+    for s, n in sorted(counts.items(), reverse=True):
+        first, least = 0, -(-n // steps)
+        while first < n:
+            gap, m = bins.best(s)
+            m = min(n - first, max(m, least), n if gap == capacity else int(bins.count[gap]))
+            ranges = bins.take(gap, m)
+            for sequence, k in ranges:
+                rows.append((s, first, k, sequence, capacity - gap))
+                first += k
+            bins.put(gap - s, ranges)
     names = [x.split()[0] for x in PLAN.split(", ")]
     return pd.DataFrame(rows, columns=names).astype("int64")
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, limit: int = RUN_LIMIT) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """Add sequence_id and offset to pieces; parts is read more than once and should be a stored table."""
 
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat(frames) if frames else pd.DataFrame()
-        if len(table):
-            yield packing_plan(dict(zip(table["length"].tolist(), table["n"].tolist(), strict=True)), capacity, limit)
+        found = [x for x in frames if len(x)]
+        if found:
+            table = pd.concat(found)
+            yield packing_plan(dict(zip(table["length"].tolist(), table["n"].tolist(), strict=True)), capacity, steps)
 
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
-    by_bucket = parts.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most 2048 * 256 rows
-    before = by_bucket.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    lengths = by_bucket.groupBy("length").agg(F.sum("n").alias("n"))  # at most 2048 rows
+    lengths = staged(parts.groupBy("length").agg(F.count("*").alias("n")), "packing-lengths")  # at most 2048 rows
     places = staged(lengths.coalesce(1).mapInPandas(plan, PLAN), "packing-plan")
-    levels = places.groupBy(F.col("length").alias("l"), "level", "first", "times").agg((F.max("slot") + 1).alias("slots"))
-    local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = parts.withColumn("local", local).join(before, ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("before"))
-    within = (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("slots") * F.col("times"))
-    ranked = ranked.join(F.broadcast(levels), within)  # a row per length and level: at most 2048 * log2(pieces)
-    ranked = ranked.select(*[c for c in parts.columns if c != "bucket"], "level", ((F.col("rank") - F.col("first")) % F.col("times")).alias("nth"), F.floor((F.col("rank") - F.col("first")) / F.col("times")).alias("slot"))
-    found = ranked.join(places.select("length", "level", "slot", "sequence_id", "offset"), ["length", "level", "slot"])
-    return found.withColumn("sequence_id", F.col("sequence_id") + F.col("nth")).drop("level", "slot", "nth")
+    shares = lengths.select("length", F.greatest(F.lit(BUCKETS), F.ceil(F.col("n") / BUCKET_ROWS)).alias("buckets"), F.ceil(F.col("n") / RANK_BLOCKS).alias("block"))
+    bucket = F.pmod(F.xxhash64("doc_id", "row", "piece"), F.col("buckets"))
+    parts_ = parts.join(F.broadcast(shares), "length").withColumn("bucket", bucket).drop("buckets")  # a row per length
+    by_bucket = parts_.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = by_bucket.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
+    local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "row", "piece")) - 1
+    ranked = parts_.withColumn("local", local).join(before, ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("before"))
+    ranked = ranked.withColumn("nth", F.floor(F.col("rank") / F.col("block")))
+    blocks = F.sequence(F.floor(F.col("first") / F.col("block")), F.floor((F.col("first") + F.col("n") - 1) / F.col("block")))
+    ranges = places.join(F.broadcast(shares.drop("buckets")), "length").select("length", "first", F.col("n").alias("many"), "sequence_id", "offset", F.explode(blocks).alias("nth"))
+    found = ranked.join(ranges, ["length", "nth"]).filter("rank >= first and rank < first + many")
+    return found.select(*parts.columns, (F.col("sequence_id") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, name: str = DEFAULT) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, row) of every piece of every document."""
     out = packed(staged(pieces(docs, id_col, text_col, capacity, end_id, name), "pieces"), capacity)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

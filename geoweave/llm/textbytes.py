@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -14,11 +15,11 @@ LOWER[65:91] += 32
 
 STRIP = ".,;:!?\"'()[]{}|<>-_*/\\«»…0123456789"
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Keys of the two passes of hashes; what they give is independent.
+KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words beyond this many bytes are hashed one by one.
+SHORT_WORD = 64
+_low = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,56 +75,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        ones = np.full(max(n, 1 << 19), base, np.uint64)
-        ones[0] = 1
-        have = np.cumprod(ones, dtype=np.uint64)
-        if len(have) <= 1 << 20:
-            _powers[base] = have
-    return have[:n]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEYS[0]) -> np.ndarray:
+    """A keyed 64-bit hash of each span of data, equal for equal bytes wherever they stand.
 
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of data, equal for equal bytes wherever they stand."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * _power(BASE, n), dtype=np.uint64, out=total[1:])
-    own = (total[ends] - total[starts]) * _power(BASE_INVERSE, n + 1)[starts]
-    return mixed(own + (ends - starts).astype(np.uint64))
-
-
-def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each row's word n-grams (lower-cased A-Z), with the n + 1 offsets of the rows.
+    Eight bytes at a time are mixed into the state, all spans side by side; long spans take xxh3.
+    """
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) ^ np.uint64(key))
+    if not len(size):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    long = np.flatnonzero(size > SHORT_WORD)
+    live, k = np.flatnonzero((size > 0) & (size <= SHORT_WORD)), 0
+    while len(live):
+        x = eight[starts[live] + k] & _low[np.minimum(size[live] - k, 8)]
+        out[live] = mixed((out[live] ^ x) + np.uint64(key))
+        k += 8
+        live = live[size[live] > k]
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), key)
+    return out
+
+
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each row's word n-grams (lower-cased A-Z), a second hash of each from an independent
+    pass over the bytes, and the n + 1 offsets of the rows.
 
     A row with fewer words than width has its whole sequence as one shingle; without words, none.
     """
     data, offsets = utf8(column)
     data = LOWER[data]
     starts, ends, rows = words(data, offsets)
-    h, n = span_hashes(data, starts, ends), len(offsets) - 1
+    n = len(offsets) - 1
     count = np.bincount(rows, minlength=n)
     first = np.concatenate(([0], np.cumsum(count)))[:n]
+    short = np.flatnonzero((count > 0) & (count < width))
     salt = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-    acc, own = np.zeros(max(0, len(h) - width + 1), np.uint64), np.zeros(0, np.int64)
-    if len(acc):
-        for i in range(width):
+    inside = rows[: max(0, len(rows) - width + 1)] == rows[width - 1 :]
+    own = np.concatenate((rows[: len(inside)][inside], short))
+    found = []
+    for key in KEYS:
+        h = span_hashes(data, starts, ends, key)
+        acc = np.zeros(len(inside), np.uint64)
+        for i in range(width if len(acc) else 0):
             acc = mixed(acc + h[i : i + len(acc)] * salt[i % 3] + np.uint64(i))
-        inside = rows[: len(acc)] == rows[width - 1 :]
-        acc, own = acc[inside], rows[: len(inside)][inside]
-    short = np.flatnonzero((count > 0) & (count < width))
-    if len(short):
-        extra = []
-        for r in short:
-            x = np.zeros(1, np.uint64)
-            for i, w in enumerate(h[first[r] : first[r] + count[r]]):
-                x = mixed(x + np.uint64(w) * salt[i % 3] + np.uint64(1000 + i))
-            extra.append(x[0])
-        acc, own = np.concatenate((acc, np.array(extra, np.uint64))), np.concatenate((own, short))
-    order = np.lexsort((acc, own))
-    acc, own = acc[order], own[order]
+        extra = np.zeros(len(short), np.uint64)
+        for i in range(width - 1):  # rows with fewer words
+            has = np.flatnonzero(count[short] > i)
+            extra[has] = mixed(extra[has] + h[first[short[has]] + i] * salt[i % 3] + np.uint64(1000 + i))
+        found.append(np.concatenate((acc[inside], extra)))
+    order = np.lexsort((found[0], own))
+    acc, second, own = found[0][order], found[1][order], own[order]
     if len(acc):
         fresh = np.concatenate(([True], (acc[1:] != acc[:-1]) | (own[1:] != own[:-1])))
-        acc, own = acc[fresh], own[fresh]
-    return acc, np.searchsorted(own, np.arange(n + 1))
+        acc, second, own = acc[fresh], second[fresh], own[fresh]
+    return acc, second, np.searchsorted(own, np.arange(n + 1))

@@ -8,6 +8,12 @@ met: the longest suffix that a token may still extend, with the last token and r
 each place in it. A token may follow another if no merge crosses the seam, so exactly one token
 ends each prefix. Counts equal the library's; special strings inside texts count as one token.
 
+Pre-tokens are walked side by side. One longer than LONG bytes is cut into chunks that are walked at
+once, each from the state that the WARM bytes before it lead to; a scan over the chunks composes
+their maps, and a chunk whose predecessor ends in another state than it began with is walked again
+from that one. The transition table is bounded: before a column could fill it up, it is emptied and
+the states in use are entered anew.
+
 Defined cases: null and empty texts have 0 bytes and 0 tokens; rows are independent, so repeated
 ids, null ids and ties need no rule; extra columns are ignored.
 """
@@ -29,6 +35,8 @@ APOSTROPHE, STMD, R, V, L, E, END = range(5, 12)
 LETTERS = (LETTER, STMD, R, V, L, E)
 FRESH, IN_L, IN_N, IN_O, S1, S2, W1, W2, AP, AP_R, AP_V, AP_L = range(12)
 CHUNK = 64
+#: Bytes of a pre-token that one lane walks, bytes before a chunk that guess its entry state, lanes at a time.
+LONG, WARM, LANES = 512, 64, 1 << 16
 
 
 def pretoken_machine() -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +132,22 @@ class TokenCounter:
         self.states: list[tuple] = [(b"", (-1,), (0,))]
         self.ids = {self.states[0]: 0}
         self.built = 0
+        self.pairs.clear()
+
+    def make_room(self, lanes: int, held: tuple[np.ndarray, ...]) -> None:
+        """Empty the table if this many more transitions could fill it; held: arrays of states, which are renumbered."""
+        if self.built + lanes <= 5 << (self.bits - 3):
+            return
+        keep = np.unique(np.concatenate(held))
+        states = [self.states[i] for i in keep.tolist()]
+        self.reset()
+        for x in states:
+            if x not in self.ids:
+                self.ids[x] = len(self.states)
+                self.states.append(x)
+        new = np.array([self.ids[x] for x in states], np.int32)
+        for a in held:
+            a[:] = new[np.searchsorted(keep, a)]
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The token and its outer parts on one side, down to a byte, each with the rank of the merge that consumes it."""
@@ -220,26 +244,48 @@ class TokenCounter:
         ends = np.concatenate((starts[1:], offsets[-1:]))
         return starts, np.minimum(ends, offsets[rows + 1]), rows
 
+    def walk(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, state: np.ndarray, held: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+        """Tokens emitted by each lane over its size bytes from at on; state is changed from entry to exit states."""
+        total = np.zeros(len(at), np.int64)
+        order = np.argsort(-size, kind="stable")
+        most = min(LANES, 1 << (self.bits - 1))
+        for a in range(0, len(order), most):
+            pick = order[a : a + most]
+            begin, now, sums = at[pick], state[pick], np.zeros(len(pick), np.int64)
+            live = len(pick) - np.cumsum(np.bincount(size[pick]))  # lanes longer than k
+            for k in range(int(size[pick[0]])):
+                m = int(live[k])
+                self.make_room(m, (now, state, *held))
+                to, add = self.step(now[:m], data[begin[:m] + k])
+                now[:m] = to
+                sums[:m] += add
+            state[pick], total[pick] = now, sums
+        return total
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row, special strings not looked for."""
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(n, np.int64)
-        if self.built > 5 << (self.bits - 3):
-            self.reset()
         starts, ends, rows = self.pretokens(data, offsets)
-        size = ends - starts
-        order = np.argsort(-size, kind="stable")
-        at, left = starts[order], np.bincount(size)
-        live = len(order) - np.cumsum(left)  # lanes longer than k
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
-        for k in range(int(size.max(initial=0))):
-            m = int(live[k])
-            to, add = self.step(state[:m], data[at[:m] + k])
-            state[:m] = to
-            total[:m] += add
+        chunks = np.maximum(1, -(-(ends - starts) // LONG))
+        nth = np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        at = np.repeat(starts, chunks) + nth * LONG
+        size, rows = np.minimum(np.repeat(ends, chunks) - at, LONG), np.repeat(rows, chunks)
+        entry, later = np.zeros(len(at), np.int32), np.flatnonzero(nth)
+        if len(later):
+            guess = np.zeros(len(later), np.int32)
+            self.walk(data, at[later] - WARM, np.full(len(later), WARM), guess, (entry,))
+            entry[later] = guess
+        leave = entry.copy()
+        total = self.walk(data, at, size, leave, (entry,))
+        while len(wrong := later[entry[later] != leave[later - 1]]):  # the first wrong one of a pre-token is right next time
+            entry[wrong] = leave[wrong - 1]
+            again = entry[wrong]
+            total[wrong] = self.walk(data, at[wrong], size[wrong], again, (entry, leave))
+            leave[wrong] = again
         out = np.zeros(n, np.int64)
-        np.add.at(out, rows[order], total)
+        np.add.at(out, rows, total)
         return out
 
     def count_column(self, column: pa.Array) -> np.ndarray:

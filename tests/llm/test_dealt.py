@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,19 @@ def test_token_count(spark):
     assert token_count.token_counts(table(spark, []), limit=5).count() == 0
 
 
+def test_token_count_tables_fill_up_and_chunks_compose():
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = [" ".join(letters(24) for _ in range(9000)), " ".join(letters(24) for _ in range(4000)), letters(150_000), "x" * 40_000, " " * 30_000, "é" * 9000, "ab" * 30_000, None]
+    library, counter = Tokenizer.from_file(path), token_count.TokenCounter(path, 1 << 15)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert counter.count_column(pa.array(texts)).tolist() == want
+    assert [int(counter.count_column(pa.array([t], pa.string()))[0]) for t in texts] == want
+    assert counter.built <= 1 << 15
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -122,26 +136,52 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, [None, None], [None, None])).count() == 2
 
 
-@pytest.mark.parametrize("limit", [50, 100000])
-def test_packing_plan_places_all(limit):
-    rng = np.random.default_rng(limit)
+@pytest.mark.parametrize("steps", [4, 256, 100000])
+def test_packing_plan_places_all(steps):
+    rng = np.random.default_rng(steps)
     sizes, n = np.unique(rng.integers(1, 2049, 40000), return_counts=True)
-    plan = packing.packing_plan(dict(zip(sizes.tolist(), n.tolist(), strict=True)), limit=limit)
+    plan = packing.packing_plan(dict(zip(sizes.tolist(), n.tolist(), strict=True)), steps=steps)
     for s, c in zip(sizes.tolist(), n.tolist(), strict=True):
         own = plan[plan.length == s]
-        ranks = np.concatenate([np.arange(r.first + r.slot * r.times, r.first + (r.slot + 1) * r.times) for r in own.itertuples()])
+        ranks = np.concatenate([np.arange(r.first, r.first + r.n) for r in own.itertuples()])
         assert sorted(ranks) == list(range(c))
     used = {}
     for r in plan.itertuples():
-        for k in range(r.times):
-            used[r.sequence_id + k] = used.get(r.sequence_id + k, 0) + r.length
+        for k in range(r.sequence_id, r.sequence_id + r.n):
+            assert used.get(k, 0) == r.offset
+            used[k] = used.get(k, 0) + r.length
     assert max(used.values()) <= 2048
     assert len(used) <= 1.15 * int((sizes * n).sum()) / 2048 + 40
 
 
-def test_sum_of_squares_rule():
-    # capacity 10: after 6 and 7 (gaps 4, 3), a 3 closes the gap of 3 rather than opening a bin
-    assert packing.sum_of_squares(np.array([6, 7, 3]), 10) == [[6], [7, 3]]
+@pytest.mark.parametrize("seed", range(6))
+def test_sum_of_squares_rule(seed):
+    # pieces that are placed at once go where they would go one by one, but for ties
+    rng, capacity = np.random.default_rng(seed), 12
+    sizes = sorted(rng.integers(1, capacity, 150).tolist(), reverse=True)
+    bins = packing.Bins(capacity)
+    at = 0
+    while at < len(sizes):
+        gap, m = bins.best(sizes[at])
+        m = min(m, sizes.count(sizes[at]) - sizes[:at].count(sizes[at]), 10**6 if gap == capacity else int(bins.count[gap]))
+        for _ in range(m):
+            least = min(1 + 2 * int(bins.count[g - sizes[at]]) * (g > sizes[at]) - (g == sizes[at]) + (1 - 2 * int(bins.count[g]) if g < capacity else 0) for g in range(sizes[at], capacity + 1) if g == capacity or bins.count[g])
+            before = int((bins.count**2).sum())
+            bins.put(gap - sizes[at], bins.take(gap, 1))
+            assert int((bins.count**2).sum()) - before == least
+            at += 1
+    assert packing.packing_plan({6: 1, 7: 1, 3: 1}, 10).sort_values("length").offset.tolist() == [7, 0, 0]
+
+
+def test_packing_repeated_rows_and_white_space(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a b", "a b", None] + [c * 300_000 for c in (" ", "\n", "\t", "\u3000")] + [" " * 1_500_000]
+    got = packing.pack_documents(table(spark, texts, [1, 1, None, 4, 5, 6, 7, 8])).collect()
+    assert len({r.row for r in got}) == len(texts) and len({(r.row, r.piece) for r in got}) == len(got)
+    for i, t in zip([4, 5, 6, 7, 8], texts[3:], strict=True):
+        assert sum(r.length for r in got if r.doc_id == i) == len(library.encode(t, add_special_tokens=False).ids) + 1
 
 
 def test_webp(spark):
@@ -312,6 +352,14 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, ids)
 
 
+def test_ngram_join_words_that_polynomial_hashes_confuse(spark):
+    one = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    other = ["ba"[bin(i).count("1") % 2] for i in range(1024)]
+    texts = ["".join(one), "".join(other), "".join(one[:64]), "".join(other[:64]), "".join(one), "w" * 65, "w" * 66]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(table(spark, texts)).collect()}
+    assert got == brute_components(texts, list(range(1, 8))) and got[2] == (1, 2) and got[5] == (1, 1)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad, rows, labels = ["grumble", "grumbly", "snarkle"], [], []
