@@ -56,8 +56,9 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     at least half of the texts that have them are positive by Bayes' rule with the class prior."""
     names, p = np.unique(np.concatenate(positive), return_counts=True)
     names, p = names[p >= least], p[p >= least]
-    every, n = np.unique(np.concatenate([*unlabelled, names]), return_counts=True)
-    u = n[np.searchsorted(every, names)] - 1
+    u = np.zeros(len(names), np.int64)
+    for own in unlabelled:
+        u[columns(own, names)] += 1
     share_p, share_u = p / len(positive), (u + 0.5) / (len(unlabelled) + 1)
     both = (p + u) / (len(positive) + len(unlabelled))
     z = (share_p - share_u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
@@ -65,11 +66,16 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return np.sort(names[good[np.argsort(-z[good], kind="stable")[:most]]])
 
 
+def columns(features: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Where distinct features stand among sorted names, those that do."""
+    at = np.searchsorted(names, features)
+    at[at == len(names)] = 0
+    return at[names[at] == features] if len(names) else at[:0]
+
+
 def rows_and_columns(docs: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat, row = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-    hit = names[at] == flat
-    return row[hit], at[hit]
+    found = [columns(d, names) for d in docs]
+    return np.repeat(np.arange(len(docs)), [len(x) for x in found]), np.concatenate(found)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
