@@ -2,15 +2,17 @@
 
 The index is a table bucketed and sorted by digest. A batch is reduced to one row per digest
 (map-side first, so a group of copies never meets in one task), joined to the index with an
-anti-join that does not shuffle the index, and the digests that are new are appended. Only
-DataFrame and SQL functions are used.
+anti-join that does not shuffle the index, and the digests that are new are appended under the
+batch's name. Only DataFrame and SQL functions are used. One writer at a time.
 
 Defined cases: null text counts as empty; null ids rank below all others; rows that repeat an id
-and a text are one group, of which exactly one row is kept; an empty batch changes nothing.
+and a text are one group, of which exactly one row is kept; an empty batch changes nothing; a batch
+that is delivered again is known to the index, so none of its rows stay.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,11 @@ from pyspark.sql.window import Window
 
 from .common import ascii_lower, documents, staged
 
-SCHEMA = T.StructType([T.StructField("digest", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("n_rows", T.LongType())])
+SCHEMA = T.StructType([T.StructField("digest", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("batch", T.StringType())])
+
+
+#: Batches that op4 delivers the table in.
+BATCHES = 2
 
 
 def digest(text: str) -> F.Column:
@@ -47,23 +53,23 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Add a batch; return a row (digest, id, n) for each text and id of it, n being how often it occurs."""
         ids = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"))
         ids = staged(ids.groupBy("digest", "id").agg(F.count("*").alias("n")), "dedup-ids")
         # a table of its own: else the anti-join moves below the aggregate, and a hot digest's rows meet in one task
-        best = staged(ids.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("n_rows")), "dedup-best")
+        best = staged(ids.groupBy("digest").agg(F.max("id").alias("keep_id")), "dedup-best")
         new = best.join(self.read().hint("merge").select("digest"), "digest", "left_anti")
-        self._append(new)
+        self._append(new.withColumn("batch", F.lit(batch or uuid.uuid4().hex)))
         return ids
 
     def decide(self, ids: DataFrame) -> DataFrame:
-        """A row per row of the batch: id, keep_id, group_size, kept, digest."""
-        # the digests of the batch with what the index has of them, stored without buckets: joined to it by
+        """A row per row of ids, of one batch or the union of several: id, keep_id, group_size (among them), kept, digest."""
+        # the digests with what the index has of them, stored without buckets: joined to it by
         # plain exchanges, the partition of a hot digest can be split
-        known = staged(ids.select("digest").distinct().join(self.read().hint("merge"), "digest"), "dedup-known")
+        known = staged(ids.groupBy("digest").agg(F.sum("n").alias("group_size")).join(self.read().hint("merge").select("digest", "keep_id"), "digest"), "dedup-known")
         found = ids.join(known, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        return found.select(F.col("id"), "keep_id", F.col("n_rows").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest")
+        return found.select(F.col("id"), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -75,19 +81,30 @@ def new_index(spark: SparkSession, name: str = "digest_index") -> DigestIndex:
 
 def deduplicated(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns: of equal texts the row with the largest id, if the index did not know the text."""
-    index.ingest(docs, id_col, text_col)
-    won = index.read().select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__digest", digest(text_col)).withColumn("__keep", F.col(id_col).cast("long"))
-    kept = keyed.alias("d").join(won.hint("merge").alias("w"), (F.col("d.__digest") == F.col("w.__digest")) & F.col("d.__keep").eqNullSafe(F.col("w.__keep")), "left_semi")
-    rn = F.row_number().over(Window.partitionBy("__digest", "__keep").orderBy(F.lit(1)))
-    return kept.withColumn("__rn", rn).filter("__rn = 1").select(*cols)
+    batch = uuid.uuid4().hex
+    index.ingest(docs, id_col, text_col, batch)
+    key = lambda d, i: F.concat_ws("|", d, F.coalesce(i.cast("string"), F.lit("null"))).alias("__key")
+    won = staged(index.read().filter(F.col("batch") == batch).select(key(F.col("digest"), F.col("keep_id"))), "dedup-won")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key(digest(text_col), F.col(id_col).cast("long")))
+    # one row of an id and text; combined in the map tasks first, so that rows without ids don't meet
+    kept = rows.groupBy("__key").agg(F.any_value("__row").alias("__row")).join(won.hint("merge"), "__key", "left_semi")
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents with its decision; the index is built in a fresh table in the warehouse."""
-    index = new_index(spark)
-    out = index.decide(index.ingest(documents(spark, sf_dir)))
+    """Every row of documents with its decision. The table comes in BATCHES batches, those with the largest ids first,
+    each deduplicated against the index that the ones before have left; the index lies in the warehouse and goes at the end."""
+    docs, index, batches = documents(spark, sf_dir).select("doc_id", "text"), new_index(spark), []
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / BATCHES for k in range(BATCHES - 1, 0, -1)])).first()[0] or []
+    above = None
+    for low in [*dict.fromkeys(cuts), None]:
+        part = docs if low is None else docs.filter(F.col("doc_id") > low)
+        if above is not None:
+            part = part.filter((F.col("doc_id") <= above) | F.col("doc_id").isNull())
+        batches.append(index.ingest(part))
+        above = low
+    out = index.decide(functools.reduce(DataFrame.union, batches))
+    index.drop()  # decide has stored what it took from it
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

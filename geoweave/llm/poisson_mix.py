@@ -1,19 +1,21 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each source s gets a mean repetition rate r(s) = target share(s) * N / n(s). A document's count is
-the inverse of the Poisson(r) distribution function at u (the places where it is below u), a number in (0, 1) hashed from seed, id
-and the rank of a repeated id's row; the document is exploded by its count and the copies are
-sorted by a second hash, which shuffles them globally. DataFrame functions only.
-
-Defined cases: null source is a source of its own; null ids hash as 'null'; rows that repeat an id
-share one u (they get the same count); rate 0 or an empty table gives no rows. No count is capped:
-the distribution is summed in log space up to where u must lie.
+the inverse of the Poisson(r) distribution function at u (the places where it is below u), a number
+in (0, 1) hashed from seed and id; the document is exploded by its count and the copies are sorted by
+a second hash, which shuffles them globally. DataFrame functions only.
+
+Defined cases: null source is a source of its own; rows that repeat an id share one u (they get the
+same count); a row without an id is hashed by its columns and, among rows that are alike, its number;
+ties of the second hash are broken by id, copy and row, so that no key grows; rate 0 or an empty table
+gives no rows. No count is capped: the distribution is summed in log space up to where u must lie.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, staged
 
@@ -25,20 +27,20 @@ def unit_hash(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, ... as an array, up to where it is 1 in doubles.
+def with_cdf(rates: DataFrame) -> DataFrame:
+    """Rows (__source, __rate) with __cdf: Poisson(__rate) at 0, 1, ... as an array, up to where it is 1 in doubles.
 
-    The pmf is exp(k ln r - r - ln k!), ln k! summed on the way.
+    The pmf is exp(k ln r - r - ln k!); ln k! and the pmf are summed along k, a row per source and k.
     """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-
-    def step(acc: Column, k: Column) -> Column:
-        lf = acc["lf"] + F.log(k.cast("double"))
-        c = acc["c"] + F.exp(k * F.log(rate) - rate - lf)
-        return F.struct(lf.alias("lf"), c.alias("c"), F.concat(acc["cs"], F.array(c)).alias("cs"))
-
-    start = F.struct(F.lit(0.0).alias("lf"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("cs"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cs"])).otherwise(F.array(F.lit(1.0)))
+    rate, k = F.col("__rate"), F.col("__k")
+    top = F.when(rate > 0, F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")).otherwise(0)
+    along = Window.partitionBy("__source").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rates.withColumn("__k", F.explode(F.sequence(F.lit(0), top)))
+    rows = rows.withColumn("__lf", F.sum(F.log(F.greatest(k, F.lit(1)).cast("double"))).over(along))
+    rows = rows.withColumn("__p", F.when(rate > 0, F.exp(k * F.log(rate) - rate - F.col("__lf"))).otherwise(1.0))
+    rows = rows.withColumn("__c", F.sum("__p").over(along))
+    pairs = F.array_sort(F.collect_list(F.struct("__k", "__c")))
+    return rows.groupBy("__source", "__rate").agg(F.transform(pairs, lambda x: x["__c"]).alias("__cdf"))
 
 
 def source_rates(docs: DataFrame, source_col: str, targets: dict[str, float] | None = None, alpha: float = 0.5) -> DataFrame:
@@ -54,23 +56,31 @@ def source_rates(docs: DataFrame, source_col: str, targets: dict[str, float] | N
     total = n.agg(F.sum("__want").alias("__all_want"), F.sum("__n").alias("__all_n"))
     rates = n.crossJoin(F.broadcast(total)).select("__source", (F.col("__want") / F.col("__all_want") * F.col("__all_n") / F.col("__n")).alias("__rate"))  # total: one row
     # stored, so that its size is known: Spark broadcasts it where it is small, else splits skewed sources
-    return staged(rates.withColumn("__cdf", poisson_cdf(F.col("__rate"))), "mix-rates")
+    return staged(with_cdf(rates), "mix-rates")
 
 
 def replicated(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """docs with __rate, __u, __count and one row per copy (__copy from 1), in no order."""
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    out = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"])).drop("__source")
-    out = out.withColumn("__u", unit_hash(key)).withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).drop("__cdf")
-    out = out.filter("__count > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    order = F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy").cast("string"))
-    return out.withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long"))
+    """docs with __rate, __u, __count and one row per copy (__copy from 1) with __key, in no order."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    name = F.col(f"`{id_col}`").cast("string")
+    named = docs.filter(F.col(f"`{id_col}`").isNotNull()).withColumn("__name", name)
+    # rows without an id: equal ones are counted in the map tasks first, then numbered
+    alike = docs.filter(F.col(f"`{id_col}`").isNull()).groupBy(*cols).agg(F.count("*").alias("__many"))
+    content = F.concat(F.lit("null-"), F.xxhash64(*cols).cast("string"), F.lit("-"))
+    unnamed = alike.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__many").cast("int")))).withColumn("__name", F.concat(content, F.col("__nth").cast("string")))
+    both = named.union(unnamed.select(*cols, "__name"))
+    out = both.join(rates, both[source_col].eqNullSafe(rates["__source"])).drop("__source")
+    out = out.withColumn("__u", unit_hash(F.concat_ws("|", F.lit(seed), F.col("__name"))))
+    out = out.withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).drop("__cdf").filter("__count > 0")
+    out = out.withColumn("__row", F.monotonically_increasing_id()).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
+    order = F.concat_ws("|", F.lit(seed + "-order"), F.col("__name"), F.col("__copy").cast("string"))
+    return out.drop("__name").withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long"))
 
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, extra: bool = False) -> DataFrame:
     """The mixed corpus in shuffled order, with the columns of docs (and with extra the working columns)."""
     rates = source_rates(docs.select(source_col), source_col, targets, alpha)
-    out = replicated(docs, rates, id_col, source_col, seed).orderBy("__key", id_col, "__copy")
+    out = replicated(docs, rates, id_col, source_col, seed).orderBy("__key", id_col, "__copy", "__row").drop("__row")
     return out if extra else out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -88,7 +98,7 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
 d AS (SELECT doc_id, d.source, rate, (('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u
       FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT range AS k FROM range(0, 400)),
+k AS (SELECT unnest(range(0, (SELECT CAST(ceil(max(rate) + 12 * sqrt(max(rate)) + 31) AS BIGINT) FROM r))) AS k),
 pmf AS (SELECT DISTINCT rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM (SELECT DISTINCT rate FROM r), k WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
 cdf AS (SELECT rate, k, sum(p) OVER (PARTITION BY rate ORDER BY k) AS c FROM pmf),
 c AS (SELECT rate, list(c ORDER BY k) AS cs FROM cdf GROUP BY 1),

@@ -46,11 +46,29 @@ def test_exact_dedup(spark):
     assert all(sum(r.kept for r in got if r.digest == k) == 1 for k in by)
     # a later batch knows what the index has
     assert exact_dedup.deduplicated(table(spark, ["SAME text", "new"], [99, 100]), index).select("doc_id").collect() == [(100,)]
-    kept = exact_dedup.deduplicated(docs, exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    kept = exact_dedup.deduplicated(docs, index)
     assert kept.columns == docs.columns and kept.count() == len(by)
+    assert exact_dedup.deduplicated(docs, index).count() == 0  # delivered again
+    index.drop()
+    assert kept.count() == len(by)
     assert exact_dedup.deduplicated(docs.limit(0), exact_dedup.new_index(spark)).count() == 0
 
 
+def test_exact_dedup_query_in_batches(spark, tmp_path):
+    table(spark, [f"T{i % 7}" if i % 3 else None for i in range(60)], [i or None for i in range(60)]).write.parquet(f"{tmp_path}/documents.parquet")
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = exact_dedup.op4_exact_dedup(spark, str(tmp_path)).collect()
+    want = {}
+    for i in range(60):
+        want.setdefault(f"t{i % 7}" if i % 3 else "", []).append(i)
+    assert len(got) == 60
+    for own in want.values():
+        rows = [r for r in got if r.keep_id == max(own)]
+        assert sorted(r.doc_id or 0 for r in rows) == own and {r.group_size for r in rows} == {len(own)} and [r.doc_id for r in rows if r.kept] == [max(own)]
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_poisson_mix(spark):
     n = 4000
     docs = table(spark, ["t"] * n, list(range(n)), sources=["big" if i % 4 else None if i % 8 else "small" for i in range(n)])
@@ -62,11 +80,19 @@ def test_poisson_mix(spark):
     assert poisson_mix.poisson_mix(docs).columns == docs.columns
     assert poisson_mix.poisson_mix(docs.limit(0)).count() == 0
     for rate in (0.3, 1.0, 7.5, 900.0):
-        cdf = spark.range(1).select(poisson_mix.poisson_cdf(F.lit(rate)).alias("c")).first().c
+        cdf = poisson_mix.with_cdf(spark.range(1).select(F.lit("s").alias("__source"), F.lit(rate).alias("__rate"))).first()["__cdf"]
         want = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(len(cdf))])
         assert np.allclose(cdf, want, atol=1e-9) and cdf[-1] > 1 - 1e-9
 
 
+def test_poisson_mix_rows_without_ids(spark):
+    n = 4000
+    docs = table(spark, [f"t{i % 50}" for i in range(n)], [None] * n, sources=["big" if i % 8 else "small" for i in range(n)])
+    got = poisson_mix.poisson_mix(docs, targets={"big": 0.5, "small": 0.5}, extra=True).collect()
+    c = Counter(r.source for r in got)
+    assert abs(c["big"] / n - 0.5) < 0.05 and abs(c["small"] / n - 0.5) < 0.07 and len({r["__key"] for r in got}) > 0.99 * len(got)
+
+
 def test_poisson_mix_query_mixes_whole_rows(spark, tmp_path, monkeypatch):
     table(spark, [f"text {i}" for i in range(40)]).write.parquet(f"{tmp_path}/documents.parquet")
     stored, staged = {}, poisson_mix.staged
