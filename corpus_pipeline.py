@@ -29,7 +29,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    return exact_dedup.deduplicated(docs, exact_dedup.new_index(spark, "pipeline_digests"))
+    index = exact_dedup.new_index(spark, "pipeline_digests")
+    out = exact_dedup.deduplicated(docs, index)
+    index.drop()  # what out needs of it is stored
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
