@@ -74,7 +74,7 @@ def replicated(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source
     out = out.withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).drop("__cdf").filter("__count > 0")
     out = out.withColumn("__row", F.monotonically_increasing_id()).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     order = F.concat_ws("|", F.lit(seed + "-order"), F.col("__name"), F.col("__copy").cast("string"))
-    return out.drop("__name").withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long"))
+    return out.withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long")).drop("__name")
 
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, extra: bool = False) -> DataFrame:
