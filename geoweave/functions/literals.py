@@ -14,15 +14,15 @@ from pyspark.sql.types import StringType
 # Datatype names in prefixed form.
 INTEGER, DECIMAL, DATE, DATETIME, BOOLEAN, WKT = "xsd:integer", "xsd:decimal", "xsd:date", "xsd:dateTime", "xsd:boolean", "geo:wktLiteral"
 
-NUMERIC = r"[-+]?\d+(?:\.\d+)?"
-#: Checked in this order on the text as it is, the first that fits gives the type.
+# Patterns of typed literals. Checked in this order on the text as it is, the first that fits gives the type.
+# (?U) and (?d) give classes and line ends the meaning that they have in Python.
 RULES = (
-    (r"(?U)^-?\d+$", INTEGER),
-    (r"(?U)^-?\d+(\.\d+)?$", DECIMAL),
-    (r"(?U)^(\d{2})\.(\d{2})\.(\d{4})$", DATE),
-    (r"(?U)^\d{4}/\d{2}/\d{2}$", DATE),
-    (r"(?U)^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z", DATETIME),
-    (rf"(?Ui)^POINT\s?\(\s?{NUMERIC}\s{NUMERIC}\s?\)", WKT),
+    (r"(?Ud)^-?\d+$", INTEGER),
+    (r"(?Ud)^-?\d+(\.\d+)?$", DECIMAL),
+    (r"(?Ud)^(\d{2})\.(\d{2})\.(\d{4})$", DATE),
+    (r"(?Ud)^(\d{4})/(\d{2})/(\d{2})$", DATE),
+    (r"(?Ud)^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z", DATETIME),
+    (r"(?Ud)^\s*[Pp][Oo][Ii][Nn][Tt]\s*\(\s*(-)?\d+(\.\d+)?\s+(-)?\d+(\.\d+)?\s*\)\s*", WKT),
 )
 SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -37,8 +37,10 @@ def _json(texts: pd.Series) -> pd.Series:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string in ASCII, non-ASCII as \\uXXXX; Python (in Arrow batches), for the writing of triples only."""
-    return _json(c)
+    """A JSON string in ASCII, non-ASCII as \\uXXXX. Printable ASCII without quotes and backslashes stays on the JVM's
+    side (Python gets null for it); Python in Arrow batches writes the rest."""
+    plain = c.rlike(r'^[ !#-\[\]-~]*\z')
+    return F.when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(_json(F.when(~plain, c)))
 
 
 def literal_type(c: Column) -> Column:

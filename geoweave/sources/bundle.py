@@ -6,7 +6,6 @@ import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +25,12 @@ class Bundle:
     prefixes: Prefixes
     csv: list[dict[str, Any]]
     kml: list[dict[str, Any]]
-    folder: Path
+    folder: str
 
     @classmethod
-    def load(cls, path: str) -> Bundle:
-        """Read a description; the prefix `election` and a label must be there."""
-        raw = json.loads(Path(path).read_text(encoding="utf-8"))
+    def load(cls, spark: SparkSession, path: str) -> Bundle:
+        """Read a description from any file system; the prefix `election` and a label must be there."""
+        raw = json.loads(spark.read.text(path, wholetext=True).first().value)
         given = [Prefix(p["prefix"], p["iri"]) for p in raw["prefixes"]]
         if not any(p.prefix == "election" for p in given):
             raise ValueError("the prefix election is missing")
@@ -41,10 +40,10 @@ class Bundle:
         if not meta["label"]:
             raise ValueError("the election has no label")
         common = frozenset(p for p in Prefixes().known if p.prefix not in {g.prefix for g in given})
-        return cls(meta, Prefixes(common).add(*given), raw.get("csv", []), raw.get("kml", []), Path(path).parent)
+        return cls(meta, Prefixes(common).add(*given), raw.get("csv", []), raw.get("kml", []), path.rsplit("/", 1)[0])
 
     def _path(self, item: dict[str, Any]) -> str:
-        return "file://" + str((self.folder / item["store_filename"]).resolve())
+        return f"{self.folder}/{item['store_filename']}"
 
     def triples(self, spark: SparkSession, warn_unmapped: bool = False) -> DataFrame:
         """(s, p, o) of the metadata and all sets; each entity is a member of the election."""

@@ -2,115 +2,131 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import warnings
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import local_name
+from ..staging import file_system, new_folder
 from .tables import TableSpec, Triples, read_table, table_triples
 
-# Table, class, stem of subjects, key; then column, predicate, rule of the value.
-TABLES = """
-agency Agency agency agency_id
-  agency_id dct:identifier name
-  agency_name foaf:name
-  agency_url foaf:page
-  agency_timezone gtfs:timeZone
-  agency_lang dct:language
-  agency_phone foaf:phone
-calendar CalendarRule calendar -
-  service_id gtfs:service service
-  monday gtfs:monday flag
-  tuesday gtfs:tuesday flag
-  wednesday gtfs:wednesday flag
-  thursday gtfs:thursday flag
-  friday gtfs:friday flag
-  saturday gtfs:saturday flag
-  sunday gtfs:sunday flag
-  start_date schema:startDate
-  end_date schema:endDate
-calendar_dates CalendarDateRule calendar_date -
-  service_id gtfs:service service
-  date dct:date
-  exception_type gtfs:dateAddition addition
-feed_info Feed feed -
-  feed_publisher_url dct:publisher
-  feed_lang dct:language
-  feed_version schema:version
-  feed_contact_mail dcat:contactPoint
-  feed_publisher_name rdfs:label
-  feed_start_date schema:startDate
-  feed_end_date schema:endDate
-frequencies Frequency frequency -
-  trip_id gtfs:trip trip
-  start_time gtfs:startTime
-  end_time gtfs:endTime
-  headway_secs gtfs:headwaySeconds
-  exact_times gtfs:exactTimes
-routes Route route route_id
-  route_id dct:identifier name
-  agency_id gtfs:agency agency
-  route_short_name gtfs:shortName
-  route_long_name gtfs:longName
-  route_type gtfs:routeType vehicle
-  route_color gtfs:color
-  route_text_color gtfs:textColor
-  route_desc dct:description
-shapes ShapePoint shapepoint -
-  shape_id -
-  shape_pt_lat geo:lat
-  shape_pt_lon geo:long
-  shape_pt_sequence gtfs:pointSequence
-stops Stop stop stop_id
-  stop_id dct:identifier name
-  stop_code gtfs:code
-  stop_name foaf:name
-  stop_desc dct:description
-  stop_lat geo:lat
-  stop_lon geo:long
-  parent_station gtfs:parentStation station
-  wheelchair_boarding gtfs:wheelchairAccessible
-  platform_code gtfs:platform
-stop_times StopTime stop_time -
-  trip_id gtfs:trip trip
-  arrival_time gtfs:arrivalTime
-  departure_time gtfs:departureTime
-  stop_id gtfs:stop stop
-  stop_sequence gtfs:stopSequence
-  pickup_type gtfs:pickupType boarding
-  drop_off_type gtfs:dropOffType boarding
-  stop_headsign gtfs:headsign
-transfers TransferRule transfer_rule -
-  from_stop_id gtfs:originStop stop
-  to_stop_id gtfs:destinationStop stop
-  transfer_type gtfs:transferType transfer
-  min_transfer_time gtfs:minimumTransferTime
-  from_route_id gtfs:originRoute route
-  to_route_id gtfs:destinationRoute route
-  from_trip_id gtfs:originTrip trip
-  to_trip_id gtfs:destinationTrip trip
-trips Trip trip trip_id
-  route_id gtfs:route route
-  service_id gtfs:service service
-  trip_id dct:identifier name
-  trip_headsign gtfs:headsign
-  trip_short_name gtfs:shortName
-  direction_id gtfs:direction flag
-  block_id gtfs:block
-  shape_id gtfs:shape shape
-  wheelchair_accessible gtfs:wheelchairAccessible flag
-  bikes_allowed gtfs:bikesAllowed flag
-"""
+# By table its class, stem of subjects and key; by column its predicate and the rule of its value.
+TABLES: dict[str, tuple[str, str, str | None, dict[str, tuple[str | None, str | None]]]] = {
+    "agency": ("Agency", "agency", "agency_id", {
+        "agency_id": ("dct:identifier", "name"),
+        "agency_name": ("foaf:name", None),
+        "agency_url": ("foaf:page", None),
+        "agency_timezone": ("gtfs:timeZone", None),
+        "agency_lang": ("dct:language", None),
+        "agency_phone": ("foaf:phone", None),
+    }),
+    "calendar": ("CalendarRule", "calendar", None, {
+        "service_id": ("gtfs:service", "service"),
+        "monday": ("gtfs:monday", "flag"),
+        "tuesday": ("gtfs:tuesday", "flag"),
+        "wednesday": ("gtfs:wednesday", "flag"),
+        "thursday": ("gtfs:thursday", "flag"),
+        "friday": ("gtfs:friday", "flag"),
+        "saturday": ("gtfs:saturday", "flag"),
+        "sunday": ("gtfs:sunday", "flag"),
+        "start_date": ("schema:startDate", None),
+        "end_date": ("schema:endDate", None),
+    }),
+    "calendar_dates": ("CalendarDateRule", "calendar_date", None, {
+        "service_id": ("gtfs:service", "service"),
+        "date": ("dct:date", None),
+        "exception_type": ("gtfs:dateAddition", "addition"),
+    }),
+    "feed_info": ("Feed", "feed", None, {
+        "feed_publisher_url": ("dct:publisher", None),
+        "feed_lang": ("dct:language", None),
+        "feed_version": ("schema:version", None),
+        "feed_contact_mail": ("dcat:contactPoint", None),
+        "feed_publisher_name": ("rdfs:label", None),
+        "feed_start_date": ("schema:startDate", None),
+        "feed_end_date": ("schema:endDate", None),
+    }),
+    "frequencies": ("Frequency", "frequency", None, {
+        "trip_id": ("gtfs:trip", "trip"),
+        "start_time": ("gtfs:startTime", None),
+        "end_time": ("gtfs:endTime", None),
+        "headway_secs": ("gtfs:headwaySeconds", None),
+        "exact_times": ("gtfs:exactTimes", None),
+    }),
+    "routes": ("Route", "route", "route_id", {
+        "route_id": ("dct:identifier", "name"),
+        "agency_id": ("gtfs:agency", "agency"),
+        "route_short_name": ("gtfs:shortName", None),
+        "route_long_name": ("gtfs:longName", None),
+        "route_type": ("gtfs:routeType", "vehicle"),
+        "route_color": ("gtfs:color", None),
+        "route_text_color": ("gtfs:textColor", None),
+        "route_desc": ("dct:description", None),
+    }),
+    "shapes": ("ShapePoint", "shapepoint", None, {
+        "shape_id": (None, None),
+        "shape_pt_lat": ("geo:lat", None),
+        "shape_pt_lon": ("geo:long", None),
+        "shape_pt_sequence": ("gtfs:pointSequence", None),
+    }),
+    "stops": ("Stop", "stop", "stop_id", {
+        "stop_id": ("dct:identifier", "name"),
+        "stop_code": ("gtfs:code", None),
+        "stop_name": ("foaf:name", None),
+        "stop_desc": ("dct:description", None),
+        "stop_lat": ("geo:lat", None),
+        "stop_lon": ("geo:long", None),
+        "parent_station": ("gtfs:parentStation", "station"),
+        "wheelchair_boarding": ("gtfs:wheelchairAccessible", None),
+        "platform_code": ("gtfs:platform", None),
+    }),
+    "stop_times": ("StopTime", "stop_time", None, {
+        "trip_id": ("gtfs:trip", "trip"),
+        "arrival_time": ("gtfs:arrivalTime", None),
+        "departure_time": ("gtfs:departureTime", None),
+        "stop_id": ("gtfs:stop", "stop"),
+        "stop_sequence": ("gtfs:stopSequence", None),
+        "pickup_type": ("gtfs:pickupType", "boarding"),
+        "drop_off_type": ("gtfs:dropOffType", "boarding"),
+        "stop_headsign": ("gtfs:headsign", None),
+    }),
+    "transfers": ("TransferRule", "transfer_rule", None, {
+        "from_stop_id": ("gtfs:originStop", "stop"),
+        "to_stop_id": ("gtfs:destinationStop", "stop"),
+        "transfer_type": ("gtfs:transferType", "transfer"),
+        "min_transfer_time": ("gtfs:minimumTransferTime", None),
+        "from_route_id": ("gtfs:originRoute", "route"),
+        "to_route_id": ("gtfs:destinationRoute", "route"),
+        "from_trip_id": ("gtfs:originTrip", "trip"),
+        "to_trip_id": ("gtfs:destinationTrip", "trip"),
+    }),
+    "trips": ("Trip", "trip", "trip_id", {
+        "route_id": ("gtfs:route", "route"),
+        "service_id": ("gtfs:service", "service"),
+        "trip_id": ("dct:identifier", "name"),
+        "trip_headsign": ("gtfs:headsign", None),
+        "trip_short_name": ("gtfs:shortName", None),
+        "direction_id": ("gtfs:direction", "flag"),
+        "block_id": ("gtfs:block", None),
+        "shape_id": ("gtfs:shape", "shape"),
+        "wheelchair_accessible": ("gtfs:wheelchairAccessible", "flag"),
+        "bikes_allowed": ("gtfs:bikesAllowed", "flag"),
+    }),
+}
 # What coded values stand for. Codes of transfers are replaced wherever they occur.
 CODES = {
     "flag": {"0": '"false"^^xsd:boolean', "1": '"true"^^xsd:boolean'},
     "addition": {"1": '"true"^^xsd:boolean', "2": '"false"^^xsd:boolean'},
     "boarding": {"0": "gtfs:Regular", "1": "gtfs:NotAvailable", "2": "gtfs:MustPhone", "3": "gtfs:MustCoordinateWithDriver"},
-    "vehicle": dict(enumerate("LightRail Subway Rail Bus Ferry CableCar Gondola Funicular".split())),
-    "transfer": dict(enumerate("RecommendedTransfer EnsuredTransfer MinimumTimeTransfer NoTransfer InSeatTransfer NoInSeatTransfer".split())),
+    "vehicle": {"0": "LightRail", "1": "Subway", "2": "Rail", "3": "Bus", "4": "Ferry", "5": "CableCar", "6": "Gondola", "7": "Funicular"},
+    "transfer": {"0": "RecommendedTransfer", "1": "EnsuredTransfer", "2": "MinimumTimeTransfer", "3": "NoTransfer", "4": "InSeatTransfer", "5": "NoInSeatTransfer"},
 }
 ENTITIES = {"agency", "route", "service", "shape", "station", "stop", "trip"}
 
@@ -170,42 +186,50 @@ def _extra(table: str, feed: str):
 def table_specs(feed: str) -> dict[str, TableSpec]:
     """The specs of the supported tables of a feed, by file stem."""
     out: dict[str, TableSpec] = {}
-    for line in TABLES.strip().splitlines():
-        part = line.split()
-        if not line.startswith(" "):
-            table, cls, stem, key = part
-            columns: dict[str, str | None] = {}
-            values: dict[str, tuple] = {}
-            out[table] = TableSpec(cls, f"gtfs:{stem}_{feed}_", None if key == "-" else key, columns, values, extra=_extra(table, feed))
-            continue
-        columns[part[0]] = None if part[1] == "-" else part[1]
-        if len(part) > 2:
-            rule = part[2]
+    for table, (cls, stem, key, fields) in TABLES.items():
+        values: dict[str, tuple] = {}
+        for predicate, rule in fields.values():
             if rule == "name":
-                values[part[1]] = (local_name, True)
+                values[predicate] = (local_name, True)
             elif rule in ENTITIES:
-                values[part[1]] = ((lambda c, stem=f"gtfs:{rule}_{feed}_": F.concat(F.lit(stem), local_name(c))), False)
-            else:
-                values[part[1]] = (_coded(rule), False)
+                values[predicate] = ((lambda c, stem=f"gtfs:{rule}_{feed}_": F.concat(F.lit(stem), local_name(c))), False)
+            elif rule:
+                values[predicate] = (_coded(rule), False)
+        columns = {c: predicate for c, (predicate, _) in fields.items()}
+        out[table] = TableSpec(cls, f"gtfs:{stem}_{feed}_", key, columns, values, extra=_extra(table, feed))
     return out
 
 
-def read_feed(spark: SparkSession, path: str, folder: str, feed: str = "feed", exclude: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The supported tables of a feed, by name. path: a folder, or a zip whose tables are unpacked into folder,
-    which executors must share; unknown tables are warned of, missing and excluded ones left out."""
-    specs, found = table_specs(feed), {}
+def unzipped(spark: SparkSession, path: str) -> str:
+    """The text files of a zip, taken out by a task into a shared folder, a folder of parts for each."""
+
+    def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in (n for n in z.namelist() if n.endswith(".txt")):
+                        with z.open(name) as f, io.TextIOWrapper(f, "utf-8-sig", newline="") as text:
+                            while some := list(itertools.islice(text, 10_000)):
+                                yield pa.RecordBatch.from_arrays([pa.array([PurePosixPath(name).stem] * len(some)), pa.array([x.removesuffix("\n").removesuffix("\r") for x in some])], ["table", "value"])
+
+    folder = new_folder(spark, "feed")
+    content = spark.read.format("binaryFile").load(path).select("content")
+    content.mapInArrow(lines, "table string, value string").write.partitionBy("table").text(f"{folder}/tables")
+    return f"{folder}/tables"
+
+
+def read_feed(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The supported tables of a feed, by name. path: a folder of text files, or a zip of them, on any file system;
+    unknown tables are warned of, missing and excluded ones left out."""
+    specs = table_specs("feed")
     if path.lower().endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
-            names = {Path(n).stem: n for n in z.namelist() if n.endswith(".txt")}
-            at = {t: "file://" + str(Path(z.extract(n, folder)).resolve()) for t, n in names.items() if t in specs and t not in exclude}
-    else:
-        names = {p.stem: p for p in Path(path).glob("*.txt")}
-        at = {t: "file://" + str(p.resolve()) for t, p in names.items() if t in specs and t not in exclude}
-    if unknown := sorted(set(names) - set(specs)):
+        path = unzipped(spark, path)
+    fs, where = file_system(spark, path)
+    names = {f.getPath().getName(): f.getPath().toString() for f in fs.listStatus(where)}
+    found = {n.removeprefix("table=").removesuffix(".txt"): p for n, p in names.items() if n.endswith(".txt") or n.startswith("table=")}
+    if unknown := sorted(set(found) - set(specs)):
         warnings.warn(f"tables not supported: {', '.join(unknown)}", stacklevel=2)
-    for table, p in at.items():
-        found[table] = read_table(spark, p)
-    return found
+    return {t: read_table(spark, p) for t, p in found.items() if t in specs and t not in exclude}
 
 
 def shape_lines(shapes: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import geometry_wkt, polygon_text, ring_text
 from ..functions.literals import literal
+from ..staging import new_folder
 
 COORDS = "struct<coordinates string>"
 RING = "struct<LinearRing: struct<coordinates string>>"
@@ -17,15 +20,23 @@ GEOMETRY = f"Point array<{COORDS}>, LineString array<{COORDS}>, Track array<stru
 SCHEMA = f"_id string, name string, description string, {GEOMETRY}, MultiGeometry array<struct<{GEOMETRY}>>"
 
 
-def unpacked(path: str, folder: str) -> str:
-    """The path of a KMZ file's only .kml, taken out into folder; other paths as they are. A file, on the driver."""
+def unpacked(spark: SparkSession, path: str) -> str:
+    """A folder with the only .kml of a KMZ file, taken out by a task; other paths as they are."""
     if not path.lower().endswith(".kmz"):
         return path
-    with zipfile.ZipFile(path) as z:
-        names = [n for n in z.namelist() if n.lower().endswith(".kml")]
-        if len(names) != 1:
-            raise ValueError(f"{path}: {len(names)} .kml files, one expected")
-        return z.extract(names[0], Path(folder))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    names = [n for n in z.namelist() if n.lower().endswith(".kml")]
+                    if len(names) != 1:
+                        raise ValueError(f"{path}: {len(names)} .kml files, one expected")
+                    yield pa.RecordBatch.from_arrays([pa.array([z.read(names[0]).decode("utf-8-sig")])], ["value"])
+
+    folder = f"{new_folder(spark, 'kmz')}/kml"
+    spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string").write.text(folder)
+    return folder
 
 
 def _point(text: Column, separator: str = ",") -> Column:
@@ -69,6 +80,7 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
     A placemark has one geometry at most; more raise an error when it is read.
     """
+    path = unpacked(spark, path)
     raw = spark.read.format("xml").schema(SCHEMA).option("rowTag", "Placemark").option("ignoreNamespace", True).load(path)
     own = raw.withColumns(dict(zip(("points", "lines", "polygons"), members(), strict=True)))
     multi = F.col("MultiGeometry")[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..prefixes import Prefixes
@@ -17,13 +17,19 @@ def write_turtle(triples: DataFrame, path: str, prefixes: Prefixes | None = None
 
     Returns the number of triples written, prefixes not counted.
     """
-    spark = triples.sparkSession
-    turtle_lines(triples).write.mode("overwrite").text(path, compression=compression)
-    n = spark.read.text(path).count()
+    spark, seen = triples.sparkSession, Observation()
+    turtle_lines(triples).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path, compression=compression)
     if prefixes is not None:
         head = spark.createDataFrame([(line,) for line in prefixes.lines()], "value string")
         head.coalesce(1).write.mode("append").text(path, compression=compression)
-    return n
+    return seen.get["n"]
+
+
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o) of what write_turtle has written, a triple a line; prefixes are left out."""
+    line = r"(?s)^(\S+) (\S+) (.*) \.$"
+    rows = spark.read.text(path).filter(~F.col("value").startswith("@prefix"))
+    return rows.select(*[F.regexp_extract("value", line, i + 1).alias(c) for i, c in enumerate("spo")])
 
 
 def write_aux_geometries(geometries: DataFrame, path: str) -> None:
@@ -41,5 +47,14 @@ def write_result(df: DataFrame, path: str, kind: str = "tsv") -> None:
         raise ValueError(f"unknown kind of result: {kind}")
 
 
-def read_result(spark, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+def read_result(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
+    """A result read back; typed: as TSV results of SPARQL, with IRIs and quoted literals turned into plain values,
+    and columns whose every value is a number into doubles."""
+    out = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="")
+    if not typed:
+        return out
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r'^<(.*)>$', "$1"), r'(?s)^"(.*)"(?:\^\^\S+|@[\w-]+)?$', "$1")
+    out = out.toDF(*[c.lstrip("?") for c in out.columns])
+    out = out.select(*[plain(F.col(f"`{c}`")).alias(c) for c in out.columns])
+    odd = out.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c) for c in out.columns]).first()
+    return out.select(*[F.col(f"`{c}`").cast("double").alias(c) if not odd[c] else F.col(f"`{c}`") for c in out.columns])

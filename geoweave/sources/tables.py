@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import literal, substituted
+from ..staging import new_folder
 
 Triples = list[tuple[Column, Column, Column]]
 #: Extra triples of a row: gets the frame and the subject, gives (s, p, o) columns; a null object is no triple.
@@ -52,24 +53,31 @@ class TableSpec:
         return self.values.get(name, self.values.get(self.predicate(header), ((), True)))
 
 
-def read_table(spark: SparkSession, path: str | list[str], separator: str = ",", quote: str = '"', skip_lines: int = 0, decimal_comma: bool = False) -> DataFrame:
+def has_quoted_newlines(spark: SparkSession, path: str | list[str], quote: str) -> bool:
+    """Whether a line holds an odd number of quotes, so that a cell may go on in the next."""
+    return not spark.read.text(path).filter(F.length(F.regexp_replace("value", f"[^{re.escape(quote)}]", "")) % 2 == 1).isEmpty()
+
+
+def read_table(spark: SparkSession, path: str | list[str], separator: str = ",", quote: str = '"', skip_lines: int = 0, decimal_comma: bool = False, multi_line: bool | None = None) -> DataFrame:
     """A delimited file with a header, every column as string; blank lines are skipped, short rows filled with null.
 
-    skip_lines drops a preamble before the header; decimal_comma removes dots between digits and turns
-    commas between digits into dots in every cell.
+    skip_lines drops a preamble of each file before the header; decimal_comma removes dots between digits and turns
+    commas between digits into dots in every cell. Files are split between tasks unless cells hold newlines;
+    multi_line says whether they do, else it is looked up in a pass of its own.
     """
-    options = {"header": True, "sep": separator, "quote": quote, "escape": quote, "multiLine": True, "mode": "PERMISSIVE", "encoding": "UTF-8"}
+    if multi_line is None:
+        multi_line = has_quoted_newlines(spark, path, quote)
+    options = {"header": True, "sep": separator, "quote": quote, "escape": quote, "multiLine": multi_line, "mode": "PERMISSIVE", "encoding": "UTF-8"}
     if skip_lines:
-        # number lines by file so that only the preamble of each goes; a header is small, so lines are parsed after
-        text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", rf"^\ufeff?(?:[^\n]*\n){{{skip_lines}}}", "").alias("value"))
-        lines = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).filter("length(line) > 0")
-        head = lines.orderBy("n").first().line
-        names = next(iter(__import__("csv").reader([head], delimiter=separator, quotechar=quote)))
-        body = lines.filter(F.col("line") != F.lit(head)).select(F.from_csv("line", ", ".join(f"`{c}` string" for c in names), {"sep": separator, "quote": quote, "escape": quote}).alias("r"))
-        out = body.select("r.*")
-    else:
-        out = spark.read.options(**options).csv(path)
-    out = out.toDF(*[c.lstrip("\ufeff") for c in out.columns])
+        # the preamble and the header are cut off by file; the rest is parsed as text, quoted newlines and all
+        whole = spark.read.text(path, wholetext=True)
+        pattern = rf"^﻿?(?:[^\n]*\n){{{skip_lines}}}"
+        bodies = whole.select(F.regexp_replace("value", pattern, "").alias("value"))
+        folder = new_folder(spark, "without-preamble")
+        bodies.write.text(f"{folder}/text", lineSep="\n")
+        path = f"{folder}/text"
+    out = spark.read.options(**options).csv(path)
+    out = out.toDF(*[c.lstrip("﻿") for c in out.columns])
     if decimal_comma:
         clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?<=\d)\.(?=\d)", ""), r"(?<=\d),(?=\d)", ".")
         out = out.select(*[clean(F.col(f"`{c}`")).alias(c) for c in out.columns])

@@ -55,7 +55,7 @@ def test_gtfs(spark, tmp_path):
     (tmp_path / "calendar.txt").write_text("service_id,monday,start_date,end_date\nW,1,20240520,2024\n")
     (tmp_path / "shapes.txt").write_text("shape_id,shape_pt_lat,shape_pt_lon,shape_pt_sequence\nx,2,1,10\nx,4,3,9\n")
     (tmp_path / "routes.txt").write_text("route_id,agency_id,route_type\nr,a,3\nq,a,99\n")
-    got = {tuple(r) for r in gtfs.feed_triples(gtfs.read_feed(spark, str(tmp_path), str(tmp_path)), "f", True).collect()}
+    got = {tuple(r) for r in gtfs.feed_triples(gtfs.read_feed(spark, str(tmp_path)), "f", True).collect()}
     for t in [("gtfs:stop_f_S0x00002d1", "geo:lat", '"48.10"^^xsd:decimal'), ("gtfs:stop_f_S0x00002d1_geo", "geo:asWKT", '"POINT(7.5 48.10)"^^geo:wktLiteral'), ("gtfs:station_f_P0x0000201", "rdf:type", "gtfs:Station"), ("gtfs:route_f_r", "gtfs:routeType", "gtfs:Bus"), ("gtfs:route_f_q", "gtfs:routeType", '"99"'), ("gtfs:route_f_r", "gtfs:agency", "gtfs:agency_f_a"), ("gtfs:shape_f_x_geo", "geo:asWKT", '"LINESTRING(3 4, 1 2)"^^geo:wktLiteral')]:
         assert t in got, t
     by = {(p, o) for _, p, o in got}
@@ -66,12 +66,12 @@ def test_bundle(spark, tmp_path):
     (tmp_path / "r.csv").write_text("nr,votes\n05,1.5\n")
     raw = {"election": {"label": "E", "countryname": "Land", "wikidata": "Q1", "osm": None, "year": 2021, "date": "2021/09/26", "id_prefix": "e_"}, "prefixes": [{"prefix": "election", "iri": "http://e.org/e/"}], "csv": [{"dataset": "result", "primary_prefix": "election", "primary_col": "nr", "store_filename": "r.csv", "column_mapping": {"nr": "area_no"}}]}
     (tmp_path / "c.json").write_text(json.dumps(raw))
-    t = bundle.Bundle.load(str(tmp_path / "c.json")).triples(spark)
+    t = bundle.Bundle.load(spark, str(tmp_path / "c.json")).triples(spark)
     assert t.filter("p = 'election:area_no'").first().o == '"05"^^xsd:integer' and t.filter("p = 'rdfs:member'").count() == 1
     raw["prefixes"] = []
     (tmp_path / "d.json").write_text(json.dumps(raw))
     with pytest.raises(ValueError):
-        bundle.Bundle.load(str(tmp_path / "d.json"))
+        bundle.Bundle.load(spark, str(tmp_path / "d.json"))
 
 
 @pytest.mark.parametrize("box", [(-180, 180, -90, 90), (170, 190, 60, 70), (5, 9, 47, 49)])
