@@ -7,8 +7,9 @@ bbox         latitude bands as join key, longitudes by difference, then the exac
 grid         latitude bands cut into cells; the right side has one cell, the left side is repeated for
              the cells that its circle may touch, so it is an ordinary equi-join that Spark can hash,
              sort or split where skewed; right across the antimeridian and at the poles;
-ring         nearest neighbours by grids of growing radius: a left row is done once k partners lie
-             within the radius, only the others go on, until the radius covers the earth.
+bounded      nearest neighbours: any k right points of the smallest of the nested cells around a left
+             row that holds as many bound the distance to its k-th neighbour, so one equi-join on a grid
+             whose cells fit that bound finds them. The root cell holds all, so no row is left over.
 
 Left rows without a partner vanish. Ties of distance go to the smaller right id. Rows without valid
 coordinates on either side are dropped. Ids must be unique on the right, and on the left for k.
@@ -16,6 +17,7 @@ coordinates on either side are dropped. Ids must be unique on the right, and on
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -23,8 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km, valid_point
+from ..staging import staged
 
-HALF_EARTH_KM = math.pi * EARTH_KM
+#: How much higher the cells of a level are than those of the level below.
+GROWTH = 3
 ALL = "<all>"
 
 
@@ -44,14 +48,14 @@ def band_height(km: float) -> float:
     return min(180.0, math.degrees(km / EARTH_KM) * (1 + 1e-9) + 1e-9)
 
 
-def cells_in_band(band: Column, height: float) -> Column:
+def cells_in_band(band: Column, height: float | Column) -> Column:
     """Cells around the earth in a latitude band, each about as wide as the band is high where it is narrowest."""
     low, high = band * height - 90, (band + 1) * height - 90
     far = F.least(F.greatest(F.abs(low), F.abs(high)), F.lit(90.0))
-    return F.greatest(F.lit(1), F.floor(360 / height * F.cos(F.radians(far)))).cast("long")
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / height * F.cos(F.radians(far)))).cast("long")
 
 
-def band_of(lat: Column, height: float) -> Column:
+def band_of(lat: Column, height: float | Column) -> Column:
     return F.floor((lat + 90) / height).cast("long")
 
 
@@ -59,28 +63,37 @@ def cell_of(lon: Column, n: Column) -> Column:
     return F.least(F.floor((lon + 180) / 360 * n), n - 1).cast("long")
 
 
-def reach_degrees(lat: Column, km: float) -> Column:
+def reach_degrees(lat: Column, km: float | Column) -> Column:
     """Degrees of longitude to either side that a circle covers; 180 where it holds a pole."""
-    r = km / EARTH_KM * (1 + 1e-9)
-    if r >= math.pi / 2:
-        return F.lit(180.0)
-    inner = F.least(F.lit(1.0), F.lit(math.sin(r)) / F.cos(F.radians(lat)))
-    return F.when(F.abs(lat) + math.degrees(r) >= 89.999999, F.lit(180.0)).otherwise(F.degrees(F.asin(inner)) + 1e-9)
+    r = (km if isinstance(km, Column) else F.lit(float(km))) / EARTH_KM * (1 + 1e-9)
+    inner = F.least(F.lit(1.0), F.sin(r) / F.cos(F.radians(lat)))
+    whole = (r >= math.pi / 2) | (F.abs(lat) + F.degrees(r) >= 89.999999)
+    return F.when(whole, F.lit(180.0)).otherwise(F.degrees(F.asin(inner)) + 1e-9)
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, km: float, dist_col: str) -> DataFrame:
-    """Pairs within km. A cell is at least as wide as the reach over most of a band, so a left row has few cells."""
-    h = band_height(km)
-    keyed = right.withColumn("__band", band_of(F.col("right_lat"), h)).withColumn("__cell", cell_of(F.col("right_lon"), cells_in_band(F.col("__band"), h)))
-    own, top = band_of(F.col("left_lat"), h), F.lit(math.floor(180 / h)).cast("long")
+def with_cell(right: DataFrame, height: float | Column) -> DataFrame:
+    keyed = right.withColumn("__band", band_of(F.col("right_lat"), height))
+    return keyed.withColumn("__cell", cell_of(F.col("right_lon"), cells_in_band(F.col("__band"), height)))
+
+
+def with_cells(left: DataFrame, height: float | Column, km: float | Column) -> DataFrame:
+    """A row per cell that the circle around a left row may touch; a band is at least as high as the radius."""
+    own = band_of(F.col("left_lat"), height)
+    top = F.floor(F.lit(180.0) / height).cast("long")
     spread = left.withColumn("__band", F.explode(F.sequence(F.greatest(own - 1, F.lit(0).cast("long")), F.least(own + 1, top))))
-    n, reach = cells_in_band(F.col("__band"), h), reach_degrees(F.col("left_lat"), km)
+    n, reach = cells_in_band(F.col("__band"), height), reach_degrees(F.col("left_lat"), km)
     first = F.floor((F.col("left_lon") + 180 - reach) / 360 * n).cast("long")
     last = F.floor((F.col("left_lon") + 180 + reach) / 360 * n).cast("long")
     cells = F.sequence(first, F.least(last, first + n - 1))
-    spread = spread.withColumn("__cell", F.explode(F.transform(cells, lambda c: F.pmod(c, n))))
     # lon = 180 lies in the last cell, but in the first one once wrapped; the right side uses the last
-    return spread.join(keyed, ["__band", "__cell"]).withColumn(dist_col, distance(dist_col)).filter(F.col(dist_col) <= km).drop("__band", "__cell")
+    return spread.withColumn("__cell", F.explode(F.transform(cells, lambda c: F.pmod(c, n))))
+
+
+def grid_pairs(left: DataFrame, right: DataFrame, km: float, dist_col: str) -> DataFrame:
+    """Pairs within km. A cell is at least as wide as the reach over most of a band, so a left row has few cells."""
+    h = band_height(km)
+    near = with_cells(left, h, km).join(with_cell(right, h), ["__band", "__cell"])
+    return near.withColumn(dist_col, distance(dist_col)).filter(F.col(dist_col) <= km).drop("__band", "__cell")
 
 
 def bbox_pairs(left: DataFrame, right: DataFrame, km: float, dist_col: str) -> DataFrame:
@@ -97,43 +110,55 @@ def all_pairs(left: DataFrame, right: DataFrame, dist_col: str) -> DataFrame:
     return left.crossJoin(right).withColumn(dist_col, distance(dist_col))
 
 
-def nearest_of(pairs: DataFrame, k: int, dist_col: str) -> DataFrame:
+def nearest_of(pairs: DataFrame, k: int, dist_col: str, *by: str) -> DataFrame:
     """The k nearest partners of each left row."""
-    w = Window.partitionBy("left_id").orderBy(dist_col, "right_id")
+    w = Window.partitionBy("left_id", *by).orderBy(dist_col, "right_id")
     return pairs.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k).drop("__rank")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage where a checkpoint folder is set, else keep in memory and on disk."""
-    spark = df.sparkSession
-    has = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if has else df.persist()
-
-
-def first_radius_km(right: DataFrame, k: int) -> float:
-    """A radius within which k right rows are likely, from their number and bounding box."""
-    box = right.agg(F.count("*").alias("n"), F.min("right_lon").alias("x0"), F.max("right_lon").alias("x1"), F.min("right_lat").alias("y0"), F.max("right_lat").alias("y1")).first()
-    if not box.n:
-        return HALF_EARTH_KM
-    side = 111.2
-    area = max(1e-6, (box.x1 - box.x0) * side * math.cos(math.radians((box.y0 + box.y1) / 2)) * (box.y1 - box.y0) * side)
-    return min(HALF_EARTH_KM, max(0.01, 1.5 * math.sqrt(k * area / (math.pi * box.n))))
-
-
-def ring_nearest(left: DataFrame, right: DataFrame, k: int, dist_col: str, start_km: float | None = None, growth: float = 3.0) -> DataFrame:
-    left, right = stored(left), stored(right)
-    km, todo, done = start_km or first_radius_km(right, k), left, None
-    while True:
-        found = stored(nearest_of(grid_pairs(todo, right, km, dist_col), k, dist_col))
-        if km >= HALF_EARTH_KM:
-            return found if done is None else done.unionByName(found)
-        full = found.groupBy("left_id").agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).select("left_id")
-        part = found.join(full, "left_id", "left_semi").select(found.columns)
-        done = part if done is None else done.unionByName(part)
-        todo = stored(todo.join(full, "left_id", "left_anti"))
-        if todo.isEmpty():
-            return done
-        km = min(HALF_EARTH_KM, km * growth)
+    """Cut lineage with a table in the shared folder."""
+    return staged(df, "spatial")
+
+
+def cell_heights(right: DataFrame) -> tuple[dict[str, int], list[float]]:
+    """Right rows by set, and heights of cells in degrees: from about one row a cell to one cell for all, times GROWTH."""
+    of = right.groupBy("__set").agg(F.count("*").alias("n"), F.min("right_lon").alias("x0"), F.max("right_lon").alias("x1"), F.min("right_lat").alias("y0"), F.max("right_lat").alias("y1")).collect()  # a row per set
+    if not of:
+        return {}, [360.0 * GROWTH]
+    area = (max(r.x1 for r in of) - min(r.x0 for r in of)) * (max(r.y1 for r in of) - min(r.y0 for r in of))
+    heights = [min(60.0, max(1e-4, math.sqrt(area * len(of) / sum(r.n for r in of))))]
+    while heights[-1] <= 360:
+        heights.append(heights[-1] * GROWTH)
+    return {r["__set"]: r.n for r in of}, heights
+
+
+def bounded_nearest(left: DataFrame, right: DataFrame, k: int, dist_col: str) -> DataFrame:
+    """The k nearest of each set of the right side (column __set) for each left row, in one pass."""
+    sets, heights = cell_heights(right)
+    if not sets:
+        return left.join(right, F.lit(False)).withColumn(dist_col, F.lit(0.0))
+    levels = F.array(*[F.lit(x) for x in range(len(heights))])
+    want = F.create_map(*[F.lit(x) for s, n in sets.items() for x in (s, min(k, n))])
+    y, x = (lambda c, add: F.floor((c + add) / heights[0]).cast("long")), (lambda c: F.floor(c / F.pow(F.lit(float(GROWTH)), "__level")).cast("long"))
+    # nested cells of the right side with k of their points each; ranks are limited in the map tasks first
+    nested = right.select("__set", "right_id", "right_lon", "right_lat", F.explode(levels).alias("__level")).withColumns({"__y": x(y(F.col("right_lat"), 90)), "__x": x(y(F.col("right_lon"), 180))})
+    rank = F.row_number().over(Window.partitionBy("__set", "__level", "__y", "__x").orderBy("right_id"))
+    some = nested.withColumn("__rank", rank).filter(F.col("__rank") <= k)
+    some = some.groupBy("__set", "__level", "__y", "__x").agg(F.collect_list(F.struct(F.col("right_lon").alias("lon"), F.col("right_lat").alias("lat"))).alias("__some")).filter(F.size("__some") >= want[F.col("__set")])
+    # the smallest such cell around each occupied cell of the left side
+    keyed = left.withColumns({"__y0": y(F.col("left_lat"), 90), "__x0": y(F.col("left_lon"), 180)})
+    around = keyed.select("__y0", "__x0").distinct().withColumn("__level", F.explode(levels)).withColumns({"__y": x(F.col("__y0")), "__x": x(F.col("__x0"))})
+    chosen = around.join(some, ["__level", "__y", "__x"]).groupBy("__y0", "__x0", "__set").agg(F.min_by("__some", "__level").alias("__some"))
+    far = F.array_max(F.transform("__some", lambda p: haversine_km(F.col("left_lon"), F.col("left_lat"), p["lon"], p["lat"])))
+    ringed = keyed.join(chosen, ["__y0", "__x0"]).withColumn("__km", far * (1 + 1e-9) + 1e-6).drop("__some", "__y0", "__x0")
+    needed = F.least(F.lit(180.0), F.degrees(F.col("__km") / EARTH_KM) * (1 + 1e-9) + 1e-9)
+    level = F.greatest(F.lit(0), F.ceil(F.log(needed / heights[0]) / math.log(GROWTH) + 1e-9)).cast("int")
+    height = F.element_at(F.array(*map(F.lit, heights)), F.col("__level") + 1)
+    spread = with_cells(ringed.withColumn("__level", F.least(level, F.lit(len(heights) - 1))), height, F.col("__km"))
+    cells = with_cell(right.withColumn("__level", F.explode(levels)), height)
+    near = spread.join(cells, ["__set", "__level", "__band", "__cell"]).withColumn(dist_col, distance(dist_col)).filter(F.col(dist_col) <= F.col("__km"))
+    return nearest_of(near.drop("__level", "__band", "__cell", "__km"), k, dist_col, "__set")
 
 
 def spatial_join(
@@ -156,7 +181,7 @@ def spatial_join(
     """
     if not (k and k > 0) and not (max_distance_m is not None and max_distance_m > 0):
         raise ValueError("k or max_distance_m must be positive")
-    if strategy not in ("auto", "nested_loop", "grid", "bbox", "ring"):
+    if strategy not in ("auto", "nested_loop", "grid", "bbox", "bounded"):
         raise ValueError(f"unknown strategy: {strategy}")
     a, b = prepared(left, left_id, *left_point, "left", left_columns), prepared(right, right_id, *right_point, "right", payload)
     km = None if max_distance_m is None else max_distance_m / 1000
@@ -164,22 +189,26 @@ def spatial_join(
         pairs = all_pairs(a, b, dist_col)
         pairs = pairs if km is None else pairs.filter(F.col(dist_col) <= km)
     elif km is None:
-        return ring_nearest(a, b, k, dist_col)
+        return bounded_nearest(a, b.withColumn("__set", F.lit("")), k, dist_col).drop("__set")
     else:
         pairs = (bbox_pairs if strategy == "bbox" else grid_pairs)(a, b, km, dist_col)
     return nearest_of(pairs, k, dist_col) if k else pairs
 
 
-def multi_nearest(left: DataFrame, rights: dict[str, DataFrame], left_id: str = "left_id", group_size: int | None = None, **options) -> DataFrame:
+def multi_nearest(left: DataFrame, rights: dict[str, DataFrame], left_id: str = "left_id", right_id: str = "right_id", group_size: int | None = None, left_point: tuple[str, str] = ("lon", "lat"), right_point: tuple[str, str] = ("lon", "lat")) -> DataFrame:
     """The nearest partner's distance from each of several right sets, a column dist_<name> each.
 
-    Left rows without a partner in some set vanish. With group_size, sets are joined in chunks whose
-    results are stored between, which bounds the size of one plan.
+    The sets go through one join, told apart by a tag. Left rows without a partner in some set vanish. With
+    group_size, sets are joined in chunks whose results are stored between, which bounds the size of one plan.
     """
-    out = left.select(F.col(left_id).alias("left_id"))
-    for i, (name, right) in enumerate(rights.items()):
-        near = spatial_join(left, right, k=1, left_id=left_id, left_columns=(), dist_col=f"dist_{name}", **options).select("left_id", f"dist_{name}")
-        out = out.join(near, "left_id")
-        if group_size and (i + 1) % group_size == 0:
+    own = prepared(left, left_id, *left_point, "left", None)
+    names, out = list(rights), None
+    for at in range(0, len(names), group_size or len(names)):
+        group = names[at : at + (group_size or len(names))]
+        tagged = [prepared(rights[n], right_id, *right_point, "right", None).withColumn("__set", F.lit(n)) for n in group]
+        near = bounded_nearest(own, functools.reduce(DataFrame.unionByName, tagged), 1, "__d")
+        near = near.groupBy("left_id").agg(*[F.max(F.when(F.col("__set") == n, F.col("__d"))).alias(f"dist_{n}") for n in group]).dropna()
+        out = near if out is None else out.join(near, "left_id")
+        if at + len(group) < len(names):
             out = stored(out)
     return out
