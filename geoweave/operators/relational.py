@@ -13,9 +13,11 @@ def shared(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in right.columns]
 
 
-def natural(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join on all shared variables, bag semantics."""
+def natural(left: DataFrame, right: DataFrame, cross: bool = False) -> DataFrame:
+    """Inner join on all shared variables, bag semantics; without any, an error unless cross allows all pairs."""
     on = shared(left, right)
+    if not on and not cross:
+        raise ValueError(f"no shared variable: {left.columns} and {right.columns}")
     return left.join(right, on, "inner") if on else left.crossJoin(right)
 
 
@@ -88,10 +90,11 @@ def any_predicate(df: DataFrame, id_col: str, columns: Sequence[str], wanted: Se
 def centred(df: DataFrame, keys: Sequence[str], weight: str, value: str, mean: str, spread: str) -> DataFrame:
     """Per group the weighted sum m of value and the weighted sum of (value - m)^2.
 
-    The second refers to the first, a sibling aggregate: with sums w, wx, wxx it is wxx - 2 m wx + m^2 w,
-    so one grouping is enough and no group meets in one task.
+    The second refers to the first, a sibling aggregate: the means, a row per group, are joined back, so
+    differences are squared as they are and large values lose no digits.
     """
     w, x = F.col(weight), F.col(value)
-    s = df.groupBy(*keys).agg(F.sum(w).alias("__w"), F.sum(w * x).alias("__wx"), F.sum(w * x * x).alias("__wxx"))
-    m = F.col("__wx")
-    return s.select(*keys, m.alias(mean), (F.col("__wxx") - 2 * m * F.col("__wx") + m * m * F.col("__w")).alias(spread), (1 - F.col("__w")).alias("other"))
+    means = df.groupBy(*keys).agg(F.sum(w * x).alias("__m"), F.sum(w).alias("__w"))
+    both = df.select(*keys, w.alias("__weight"), x.alias("__value")).join(means, list(keys))
+    out = both.groupBy(*keys).agg(F.min("__m").alias(mean), F.sum(F.col("__weight") * F.pow(F.col("__value") - F.col("__m"), 2)).alias(spread), F.min("__w").alias("__w"))
+    return out.select(*keys, mean, spread, (1 - F.col("__w")).alias("other"))

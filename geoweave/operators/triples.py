@@ -64,7 +64,7 @@ def bgp(triples: DataFrame, patterns: Sequence[tuple[str, ...]]) -> DataFrame:
     while left:
         k = next((i for i, (v, _) in enumerate(left) if v & seen), 0)
         v, df = left.pop(k)
-        seen, out = seen | v, natural(out, df)
+        seen, out = seen | v, natural(out, df, cross=not v & seen)
     return out
 
 

@@ -61,10 +61,11 @@ def transit(buildings: DataFrame, stops: DataFrame, max_distance_m: float = 300)
     return all_.groupBy("election", "area_no").agg(F.count("*").alias("count_buildings_transit"), F.avg(F.coalesce("n", F.lit(0))).alias("avg_trips"))
 
 
-def case_study(results: DataFrame, elections: DataFrame, manifesto: DataFrame, structural: DataFrame | None = None, infra: DataFrame | None = None, reach: DataFrame | None = None, limit: int = 1000) -> DataFrame:
+def case_study(results: DataFrame, elections: DataFrame, manifesto: DataFrame, structural: DataFrame | None = None, infra: DataFrame | None = None, reach: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """A row per district with all that is known of it, by area number."""
     out = polarisation(party_votes(results, elections, manifesto)).join(elections.select("election", F.col("label").alias("election_name")), "election")
     for part in (structure(structural) if structural is not None else None, infra, reach):
         if part is not None:
             out = optional(out, part)
-    return out.orderBy("area_no", "election").limit(limit)
+    out = out.orderBy("area_no", "election")
+    return out if limit is None else out.limit(limit)

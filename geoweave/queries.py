@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.geo import haversine_km, haversine_sql, wkt_lat, wkt_lon, wkt_point
-from .functions.literals import after, java_pattern, literal_type, literal_value, local_name
+from .functions.literals import after, literal_type, literal_value, local_name, substituted
 from .operators import containment, relational, stats, triples
 from .operators.spatial_join import multi_nearest, spatial_join
 from .plans.casestudy import manifesto_name, polarisation
 from .plans.compose import QueryConfig
+from .sources import gtfs
+from .staging import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -49,7 +51,7 @@ def points_sql(table_: str, key: str, more: str = "", where: str = "") -> str:
     return f"(SELECT CAST({key} AS BIGINT) AS id, 6 + (({key} * 104729) % 10009) / 10009e0 * 9 AS lon, 47 + (({key} * 7919) % 10007) / 10007e0 * 8 AS lat{more} FROM {table_}{where})"
 
 
-CUSTOMERS, SUPPLIERS, PARTS = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey"), points_sql("part", "p_partkey")
+CUSTOMERS, SUPPLIERS = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey")
 LR = haversine_sql("l.lon", "l.lat", "r.lon", "r.lat")
 BERLIN = (13.383333, 52.516667)
 
@@ -65,10 +67,12 @@ def suppliers(s: SparkSession, d: str, *more: str) -> DataFrame:
 # --- distances and spatial joins ---
 
 
-@query(f"SELECT round(avg({haversine_sql('lon', 'lat', str(BERLIN[0]), str(BERLIN[1]))}), 6) AS avg_km FROM {CUSTOMERS} WHERE lon IS NOT NULL")
+@query(f"SELECT round(avg({haversine_sql('lon', 'lat', str(BERLIN[0]), str(BERLIN[1]))}), 6) AS avg_km, count(*) AS n FROM {CUSTOMERS} WHERE id % 5 <> 0")
 def dist_to_point_avg(s, d):
+    """Points without a longitude are unbound and left out."""
     lon, lat = BERLIN
-    return customers(s, d).filter("lon is not null").agg(r6(F.avg(haversine_km(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat)))).alias("avg_km"))
+    some = customers(s, d).withColumn("lon", F.when(F.col("id") % 5 != 0, F.col("lon")))
+    return some.filter(F.col("lon").isNotNull()).agg(r6(F.avg(haversine_km(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat)))).alias("avg_km"), F.count("*").alias("n"))
 
 
 NN = f"SELECT l.id, min({LR}) AS km FROM {CUSTOMERS} l, {SUPPLIERS} r GROUP BY l.id"
@@ -281,9 +285,6 @@ def optional_unbound(s, d):
     return relational.optional(left, table(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), maybe_unbound=True)
 
 
-TAGS = ("p_brand", "p_type", "p_name")
-
-
 @query("SELECT p, count(*) AS n FROM (SELECT 'p_size' AS p, CAST(p_size AS VARCHAR) AS o FROM part UNION ALL SELECT 'p_brand', p_brand FROM part) WHERE o IN ('1', '2', '3', 'Brand#11', 'Brand#12') GROUP BY p")
 def values_variable_predicate(s, d):
     part = table(s, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("p_size"), "p_brand")
@@ -319,11 +320,12 @@ def cross_product(s, d):
     return table(s, d, "nation").select(F.col("n_nationkey").alias("a")).crossJoin(table(s, d, "region").select("r_regionkey")).agg(F.count("*").alias("n"), F.countDistinct("a").alias("d"))
 
 
-@query("SELECT c_nationkey AS k, n, avg_bal, s FROM (SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey, round(sum(s_acctbal), 4) AS s FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey WHERE c_nationkey IS NOT NULL")
+@query("SELECT coalesce(c_nationkey, s_nationkey) AS k, n, avg_bal, s FROM (SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal FROM customer WHERE c_nationkey < 15 GROUP BY 1) FULL JOIN (SELECT s_nationkey, round(sum(s_acctbal), 4) AS s FROM supplier WHERE s_nationkey >= 10 GROUP BY 1) ON c_nationkey = s_nationkey")
 def full_merge(s, d):
-    a = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), r6(F.avg("c_acctbal")).alias("avg_bal"))
-    b = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.sum("s_acctbal"), 4).alias("s"))
-    return stats.full_merge(a, b, ["k"]).filter("k is not null and n is not null")
+    """Keys of either side only stay."""
+    a = table(s, d, "customer").filter("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), r6(F.avg("c_acctbal")).alias("avg_bal"))
+    b = table(s, d, "supplier").filter("s_nationkey >= 10").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.sum("s_acctbal"), 4).alias("s"))
+    return stats.full_merge(a, b, ["k"])
 
 
 # --- triples ---
@@ -353,11 +355,11 @@ def triple_variable_predicate(s, d):
     return relational.natural(triples.pattern(t, "?n", "a", "ex:Nation"), triples.pattern(t, "?n", "?p", "[]")).groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, 'LINESTRING(' || string_agg(event_type || ' ' || event_id, ', ' ORDER BY ts, event_id) || ')' AS line FROM events GROUP BY user_id")
+@query("SELECT user_id AS shape_id, 'LINESTRING(' || string_agg(event_type || ' ' || event_id, ', ' ORDER BY event_id) || ')' AS wkt FROM events GROUP BY user_id")
 def line_assembly(s, d):
-    point = F.struct("ts", "event_id", "event_type")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(point)), lambda x: F.concat_ws(" ", x["event_type"], x["event_id"])), ", ")
-    return table(s, d, "events").groupBy("user_id").agg(F.concat(F.lit("LINESTRING("), text, F.lit(")")).alias("line"))
+    """Points of a shape as a line, in order of their number."""
+    e = table(s, d, "events")
+    return gtfs.shape_lines(e.select(F.col("user_id").alias("shape_id"), F.col("event_id").cast("string").alias("shape_pt_sequence"), F.col("event_type").alias("shape_pt_lon"), F.col("event_id").cast("string").alias("shape_pt_lat")))
 
 
 # --- aggregation and statistics ---
@@ -409,22 +411,32 @@ def min_max_norm(s, d):
     return stats.min_max(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"]).select("s_suppkey", r6("s_acctbal_norm").alias("s_acctbal_norm"))
 
 
-@query("SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS estimate, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 4), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem")
+OLS = "(SELECT count(*) AS n, regr_r2(l_extendedprice, l_quantity) AS r2, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, sum(l_quantity * l_quantity) AS q FROM lineitem)"
+OLS_FIT = "round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS r2_adjusted, round(r2 / (1 - r2) * (n - 2), 2) AS f"
+
+
+@query(f"SELECT 'l_quantity' AS term, round(b, 4) AS estimate, round(sqrt((1 - r2) * syy / (n - 2) / sxx), 4) AS std_error, {OLS_FIT} FROM {OLS} UNION ALL SELECT '(intercept)', round(a, 4), round(sqrt((1 - r2) * syy / (n - 2) / sxx * q / n), 4), {OLS_FIT} FROM {OLS}")
 def linear_model(s, d):
     m = stats.linear_model(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity"])
-    return s.createDataFrame([(k, round(float(v["estimate"]), 4), round(float(m["r2"]), 6)) for k, v in m["terms"].items()], "term string, estimate double, r2 double")
+    fit = [round(float(m[k]), n) for k, n in (("r2", 6), ("r2_adjusted", 6), ("f", 2))]
+    return s.createDataFrame([(k, round(float(v["estimate"]), 4), round(float(v["std_error"]), 4), *fit) for k, v in m["terms"].items()], "term string, estimate double, std_error double, r2 double, r2_adjusted double, f double")
 
 
-@query("SELECT c_custkey, regexp_replace(regexp_replace(c_mktsegment, 'BUILDING|MACHINERY', 'CDU/CSU', 'g'), 'HOUSEHOLD', 'DIE LINKE') AS party FROM customer")
+@query("SELECT c_custkey, regexp_replace(regexp_replace(c_mktsegment, '^(BUILDING|MACHINERY)$', '\\1-$1'), 'HOUSE(HOLD)', '\\1ER') AS party FROM customer")
 def value_mapping(s, d):
-    m = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("DIE LINKE")).otherwise(F.regexp_replace("c_mktsegment", java_pattern("BUILDING|MACHINERY"), "CDU/CSU"))
-    return table(s, d, "customer").select("c_custkey", m.alias("party"))
+    """Python-dialect rules one after the other; a dollar sign is literal."""
+    rules = [("^(?P<what>BUILDING|MACHINERY)$", r"\g<what>-$1"), ("HOUSE(HOLD)", r"\1ER")]
+    return table(s, d, "customer").select("c_custkey", substituted(F.col("c_mktsegment"), rules).alias("party"))
 
 
-@query("SELECT n_nationkey, replace(n_name, 'GRÜNE', '90/Greens') AS party, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC, n_nationkey) AS pos FROM nation")
+PARTY = "CASE n_nationkey % 4 WHEN 0 THEN 'CDU' WHEN 1 THEN 'CSU' WHEN 2 THEN 'DIE LINKE' ELSE 'BÜNDNIS GRÜNE' END"
+
+
+@query(f"SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'CDU/CSU' WHEN 1 THEN 'CDU/CSU' WHEN 2 THEN 'LINKE' ELSE 'BÜNDNIS 90/Greens' END AS party, row_number() OVER (PARTITION BY n_regionkey ORDER BY {PARTY} DESC, n_nationkey) AS pos FROM nation")
 def party_names(s, d):
-    pos = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("n_name"), "n_nationkey"))
-    return table(s, d, "nation").select("n_nationkey", manifesto_name(F.col("n_name")).alias("party"), pos.alias("pos"))
+    name = F.expr(PARTY)
+    pos = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(name.desc(), "n_nationkey"))
+    return table(s, d, "nation").select("n_nationkey", manifesto_name(name).alias("party"), pos.alias("pos"))
 
 
 @query("SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
@@ -432,6 +444,112 @@ def source_sizes(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
 
 
+# --- chains, polygons, the case study, streams ---
+
+def _near_part(k: int) -> str:
+    return f"(SELECT l.id, min({LR}) AS km FROM {CUSTOMERS} l, {points_sql('part', 'p_partkey', where=f' WHERE p_partkey % 13 = {k}')} r GROUP BY l.id)"
+
+
+THIRTEEN = " UNION ALL ".join(f"SELECT {k} AS k, round(avg(km), 6) AS avg_km, round(stddev_samp(km), 6) AS sd_km FROM {_near_part(k)}" for k in range(13))
+
+
+@query(THIRTEEN)
+def multi_nn_13_sets(s, d):
+    """Thirteen sets in groups of five, stored between."""
+    n = points(table(s, d, "part"), "p_partkey")
+    near = multi_nearest(customers(s, d), {f"s{k}": n.filter(F.col("id") % 13 == k) for k in range(13)}, left_id="id", right_id="id", group_size=5)
+    row = near.agg(*[f(f"dist_s{k}").alias(f"{a}_{k}") for k in range(13) for a, f in (("avg", F.avg), ("sd", F.stddev_samp))])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), r6(F.col(f"avg_{k}")).alias("avg_km"), r6(F.col(f"sd_{k}")).alias("sd_km")) for k in range(13)])
+    return row.select(F.explode(rows).alias("x")).select("x.*")
+
+
+@query(f"SELECT c_mktsegment, round(avg(a), 6) AS avg_low, round(avg(b), 6) AS avg_high, round(avg(c), 6) AS avg_all FROM customer JOIN {_nearest_sql('a', ' WHERE s_nationkey < 12')} x ON x.id = c_custkey JOIN {_nearest_sql('b', ' WHERE s_nationkey >= 12')} y ON y.id = c_custkey JOIN {_nearest_sql('c', '')} z ON z.id = c_custkey GROUP BY c_mktsegment")
+def composed_groups(s, d):
+    """A configuration whose right shards are split into groups."""
+    n = suppliers(s, d, "s_nationkey")
+    shards = {"customers": lambda: customers(s, d, "c_mktsegment"), "low": lambda: n.filter("s_nationkey < 12"), "high": lambda: n.filter("s_nationkey >= 12"), "all": lambda: n}
+    search = {"left": ["customers"], "right": [{"file": x} for x in ("low", "high", "all")], "spatial_search_config": {"algorithm": "s2", "numNearestNeighbors": 1}, "group_size": 2, "name_template": "%RIGHT%", "selectors": {"avg_%NAME%": "round(avg(%DIST%), 6)"}}
+    return QueryConfig.load({"keys": ["c_mktsegment"], "spatial_searches": [search]}).to_dataframe(shards)
+
+
+#: An L with a hole, and points on whole degrees, many of them on edges and corners.
+SHELL, HOLE = ((0, 0), (10, 0), (10, 10), (5, 10), (5, 5), (0, 5), (0, 0)), ((6, 1), (8, 1), (8, 3), (6, 3), (6, 1))
+EDGE = "(y = 0 AND x BETWEEN 0 AND 10) OR (x = 10 AND y BETWEEN 0 AND 10) OR (y = 10 AND x BETWEEN 5 AND 10) OR (x = 5 AND y BETWEEN 5 AND 10) OR (y = 5 AND x BETWEEN 0 AND 5) OR (x = 0 AND y BETWEEN 0 AND 5) OR (y IN (1, 3) AND x BETWEEN 6 AND 8) OR (x IN (6, 8) AND y BETWEEN 1 AND 3)"
+INSIDE = "((x > 0 AND x < 10 AND y > 0 AND y < 5) OR (x > 5 AND x < 10 AND y >= 5 AND y < 10)) AND NOT (x BETWEEN 6 AND 8 AND y BETWEEN 1 AND 3)"
+LATTICE = "(SELECT c_custkey AS id, r_regionkey AS area, c_custkey % 13 - 1 AS x, c_custkey // 13 % 13 - 1 AS y FROM customer, region)"
+
+
+@query(f"SELECT area AS left_id, CAST(relation AS SMALLINT) AS relation, id AS right_id FROM (SELECT *, unnest(CASE WHEN edge THEN [1, 3, 4] WHEN inside THEN [1, 2, 3] ELSE [] END) AS relation FROM (SELECT *, ({EDGE}) AS edge, ({INSIDE}) AS inside FROM {LATTICE}))")
+def polygon_relations(s, d):
+    """Concave polygons with holes and points in them, on their edges, in the holes and outside, as a relation table."""
+    k = F.col("r_regionkey")
+    ring = lambda pts: F.array(*[F.struct((x + 20 * k).cast("double").alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((F.lit(a), b) for a, b in pts)])
+    areas = table(s, d, "region").select(k.alias("polygon_id"), F.array(ring(SHELL), ring(HOLE)).alias("rings"))
+    c = F.col("c_custkey")
+    every = table(s, d, "customer").crossJoin(F.broadcast(table(s, d, "region")))  # five regions
+    pts = every.select(c.alias("point_id"), k.alias("own"), (c % 13 - 1 + 20 * k).cast("double").alias("lon"), (F.floor(c / 13) % 13 - 1).cast("double").alias("lat"))
+    found = containment.related(areas, pts.withColumn("point_id", F.struct("point_id", "own")))
+    return containment.relation_table(found).select("left_id", "relation", F.col("right_id.point_id").alias("right_id"))
+
+
+PARTIES = (("CDU", "CDU/CSU", -8.5), ("DIE LINKE", "LINKE", 30.25), ("GRÜNE", "90/Greens", 12.0), ("SPD", "SPD", 3.5), ("XYZ", None, None))
+STUDY_VOTES = " UNION ALL ".join(f"SELECT n_nationkey AS area_no, n_name AS area_name, ((n_nationkey * 7 + {i} * 13) % 30 + 5) / 1e2 AS votes, {r}e0 AS rile FROM nation" for i, (_, m, r) in enumerate(PARTIES) if m)
+STATE = "CASE n_regionkey WHEN 0 THEN 'Sachsen-Anhalt' WHEN 1 THEN 'Bayern' WHEN 2 THEN 'Mecklenburg-Vorpommern' WHEN 3 THEN 'Hessen' ELSE 'Brandenburg' END"
+STUDY = f"""
+WITH v AS ({STUDY_VOTES}), m AS (SELECT area_no, min(area_name) AS area_name, sum(votes * rile) AS pasysav, 1 - sum(votes) AS other_votes FROM v GROUP BY 1),
+p AS (SELECT area_no, sum(votes * pow(rile - pasysav, 2)) AS polarization FROM v JOIN m USING (area_no) GROUP BY 1),
+i AS (SELECT c_nationkey AS area_no, count(*) AS n, avg(a) AS al, stddev_samp(a) AS sl, avg(b) AS ah FROM customer JOIN {_nearest_sql('a', ' WHERE s_nationkey < 8')} x ON x.id = c_custkey JOIN {_nearest_sql('b', ' WHERE s_nationkey >= 8')} y ON y.id = c_custkey GROUP BY 1),
+t AS (SELECT c_nationkey AS area_no, avg(coalesce(w, 0)) AS trips FROM customer LEFT JOIN (SELECT l.id, sum(r.w) AS w FROM {CUSTOMERS} l, {points_sql('supplier', 's_suppkey', ', s_nationkey AS w')} r WHERE {LR} <= 15 GROUP BY l.id) q ON q.id = c_custkey GROUP BY 1)
+SELECT 'E' AS election_name, area_no, area_name, round(pasysav, 6) AS pasysav, round(polarization, 3) AS polarization, round(other_votes, 6) AS other_votes, round(ln(n_nationkey * 10 + 1), 6) AS log_pop_density, n_nationkey + 9.5e0 AS age_over60, n_regionkey NOT IN (1, 3) AS east, n AS count_buildings, round(al, 6) AS avg_dist_low, round(sl, 6) AS sd_dist_low, round(ah, 6) AS avg_dist_high, round(trips, 6) AS avg_trips
+FROM m JOIN p USING (area_no) JOIN nation ON n_nationkey = area_no LEFT JOIN i USING (area_no) LEFT JOIN t USING (area_no)
+"""
+
+
+@query(STUDY)
+def case_study(s, d):
+    """Polarisation of districts with their structure, distances of buildings and trips within reach."""
+    from .plans import casestudy
+
+    k = F.col("n_nationkey")
+    rows = [F.struct(F.lit(p).alias("candidate_name"), ((k * 7 + i * 13) % 30 + 5).cast("double").alias("votes_percent")) for i, (p, _, _) in enumerate(PARTIES)]
+    results = table(s, d, "nation").select(F.lit("e").alias("election"), k.alias("area_no"), F.col("n_name").alias("area_name"), F.lit("BT").alias("body"), F.lit("Partei").alias("candidate_type"), F.lit("Wahlkreis").alias("area_type"), F.explode(F.array(F.lit(1), F.lit(2))).alias("vote_type"), F.array(*rows).alias("r"))
+    results = results.select("*", F.explode("r").alias("x")).select("*", "x.*").drop("r", "x")
+    elections = s.createDataFrame([("e", "2021/09/26", "Land", "E")], "election string, date string, countryname string, label string")
+    manifesto = s.createDataFrame([("e", "2021/09/26", "Land", m, float(r)) for _, m, r in PARTIES if m], "election string, edate string, countryname string, partyabbrev string, rile double")
+    structural = table(s, d, "nation").select(F.lit("e").alias("election"), k.alias("area_no"), F.expr(STATE).alias("state"), (k * 10.0 + 1).alias("pop_density"), (k + 4.5).alias("age_60_74"), F.lit(5.0).alias("age_over74"))
+    buildings = customers(s, d, F.lit("e").alias("election"), F.col("c_nationkey").alias("area_no"))
+    n = suppliers(s, d, F.col("s_nationkey").alias("n_trips"))
+    infra = casestudy.infrastructure(buildings, {"low": n.filter("n_trips < 8"), "high": n.filter("n_trips >= 8")}, right_id="id")
+    out = casestudy.case_study(results, elections, manifesto, structural, infra, casestudy.transit(buildings, n, 15_000))
+    rounded = ("pasysav", "other_votes", "log_pop_density", "avg_dist_low", "sd_dist_low", "avg_dist_high", "avg_trips")
+    return out.select("election_name", "area_no", "area_name", "east", "age_over60", "count_buildings", F.round("polarization", 3).alias("polarization"), *[r6(c).alias(c) for c in rounded])
+
+
+@query(f"SELECT id, name, lon, lat FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS r FROM (SELECT s_suppkey AS id, s_name AS name, 1 AS place, 0.5 AS lon, 1.5 AS lat FROM supplier UNION ALL SELECT c_custkey, c_name, 2, 2.5, 3.5 FROM customer)) WHERE r = 1")
+def points_merged_by_id(s, d):
+    """Points of two exports; an id that is there already is not inserted again."""
+    from .sources import osm
+
+    folder = new_folder(s, "osm")
+    of = lambda t, k, n, x, y: osm.write_points(table(s, d, t).select(F.col(k).alias("osm_id"), F.col(n).alias("name"), F.lit(x).alias("lon"), F.lit(y).alias("lat")), f"{folder}/{t}") or osm.read_points(s, f"{folder}/{t}")
+    merged = osm.merged_by_id(of("supplier", "s_suppkey", "s_name", 0.5, 1.5), of("customer", "c_custkey", "c_name", 2.5, 3.5))
+    return merged.select(F.col("osm_id").alias("id"), "name", "lon", "lat")
+
+
+@query(PAIRS)
+def stream_near_static(s, d):
+    """A stream of points against a static set."""
+    from .streaming import near_static
+
+    folder = new_folder(s, "stream")
+    customers(s, d).repartition(4).write.parquet(f"{folder}/in")
+    stream = s.readStream.schema("id long, lon double, lat double").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    pairs = near_static(stream, suppliers(s, d), 20_000).select("left_id", "right_id", "dist_km")
+    sink = pairs.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    sink.awaitTermination()
+    return s.read.schema(pairs.schema).parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.round(F.sum("dist_km"), 3).alias("total_km"))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

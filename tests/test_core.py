@@ -112,6 +112,17 @@ def test_stats(spark):
     assert (row.q1, row.median, row.q3, row.n) == (1.25, 2.5, 3.75, 4)
 
 
+def test_quantiles_of_large_groups(spark, monkeypatch):
+    """Only values near the points are ranked; the result is the same."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i % 2, round(rng.gauss(0, 50)) / 4 if i % 3 else 1.0) for i in range(9000)], "k int, v double")
+    points = {"a": 0.0001, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.9999}
+    want = sorted(map(tuple, stats.exclusive_quantile(df, "v", ["k"], points).collect()))
+    monkeypatch.setattr(stats, "WHOLE", 10)
+    monkeypatch.setattr(stats, "MARGIN", 0.01)
+    assert sorted(map(tuple, stats.exclusive_quantile(df, "v", ["k"], points).collect())) == want
+
+
 def test_compose():
     assert str(SearchLimits("s2", 100, 5)) == "numNearestNeighbors5_maxDist100" and chunks([1, 2, 3], 2) == [[1, 2], [3]]
     for bad in (lambda: SearchLimits("s2"), lambda: ReplaceRule("a"), lambda: QueryConfig(())):
