@@ -16,7 +16,6 @@ import numpy as np
 from .bytebpe import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST = 16
 
 
 @dataclass
@@ -29,6 +28,7 @@ class Pieces:
     classes: np.ndarray
     child: np.ndarray
     piece: np.ndarray
+    longest: int  # bytes of the longest piece
 
 
 @functools.cache
@@ -42,7 +42,7 @@ def load_pieces(path: str | None = None) -> Pieces:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         name = model.id_to_piece(i).replace("▁", " ").encode().lower()
-        if len(name) <= LONGEST and b" " not in name[1:]:
+        if b" " not in name[1:]:
             scored[name] = max(scored.get(name, -1e18), model.get_score(i))
     for b in range(256):
         scored.setdefault(bytes([b]), -1e17)
@@ -68,7 +68,7 @@ def load_pieces(path: str | None = None) -> Pieces:
         if n and n[-1] in column:
             child[nodes[n[:-1]], column[n[-1]]] = at
         piece[at] = index.get(n, -1)
-    return Pieces(names, np.array([n[:1] == b" " for n in names]), rank, classes, child, piece)
+    return Pieces(names, np.array([n[:1] == b" " for n in names]), rank, classes, child, piece, max(map(len, names)))
 
 
 class Arcs:
@@ -87,7 +87,7 @@ class Arcs:
         pieces.single = single
         start, node = np.arange(total), np.zeros(total, np.int32)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(LONGEST):
+        for k in range(pieces.longest):
             live = start + k < stop[start]
             start, node = start[live], node[live]
             if not len(start):

@@ -1,20 +1,27 @@
 """Language-model scores from a subword lattice.
 
-A word's probability is the sum over all segmentations of its lattice: arcs are the pieces of an
-existing vocabulary and, for words of the corpus, one arc over the whole word,
+A word is spelled by the pieces of an existing unigram vocabulary: S(w) is the sum over all its
+segmentations of the product of the pieces' weights, by a forward recursion in log space. The
+weights start from the vocabulary's own scores, which for the public vocabulary at hand are ranks and
+no log probabilities, and are re-estimated on all distinct training words by expectation-maximisation.
+lattice_score is the marginal probability of a document under the pieces alone,
 
-    P(w) = max(c(w) - D, 0) / N + D V / N * sum over segmentations of the product of its pieces,
+    P(end) * prod over its words of (1 - P(end)) S(w).
 
-with c, N, V the counts over all training tokens and D the absolute discount n1 / (n1 + 2 n2). The
-pieces' weights start from the vocabulary's own scores and are re-estimated on all distinct training
-words by expectation-maximisation; the forward recursion runs in log space. A document's words are
-scored with a document-specific mix whose weights are integrated out (a Dirichlet with mean P and
-strength mu), so a word that the document has used already is likelier:
+score is that of the whole model, which also has an arc over each whole word that the corpus has,
 
-    P(doc) = P(end) * Gamma(mu) / Gamma(mu + n) * prod over w of Gamma(mu p(w) + tf) / Gamma(mu p(w)) * (1 - P(end))^n
+    P(w) = max(c(w) - D, 0) / N + D V / N * S(w),
+
+with c, N, V the counts over training words and D the absolute discount n1 / (n1 + 2 n2), and in which
+a document's words are scored with a document-specific mix whose weights are integrated out (a
+Dirichlet with mean P and strength mu), so a word that the document has used already is likelier:
+
+    P(doc) = P(end) (1 - P(end))^n * Gamma(mu) / Gamma(mu + n) * prod over w of Gamma(mu P(w) + tf) / Gamma(mu P(w)).
+
+P and S are distributions over all words, so both scores are of proper distributions over texts.
 
 What is gathered grows with the corpus: counts of all distinct words, in a table that texts are
-joined to. The words with c >= N / 20000, at most 20000 whatever the corpus, are broadcast, so no
+joined to. The words with c >= N / HOT, so at most HOT whatever the corpus, are broadcast, and no
 frequent word is a join key; the rest meet their counts in a shuffle of one row per word and task.
 
 Defined cases: null and empty texts are the end token alone; null ids are not held out and train;
@@ -36,7 +43,7 @@ from .lattice import Arcs, batches, load_pieces, normalised, scores_as_weights
 
 #: The end token in the table of words; no word is empty.
 END = b""
-HOT, STRENGTH, ROUNDS, FLUSH = 20_000, 1000.0, 2, 200_000
+HOT, STRENGTH, ROUNDS, FLUSH = 300_000, 1000.0, 2, 200_000
 LN10 = float(np.log(10.0))
 
 
@@ -103,7 +110,7 @@ def expected_pieces(words: DataFrame, logp: np.ndarray) -> np.ndarray:
 
 
 def lattice_scores(words: DataFrame, logp: np.ndarray, end: float, n: int, v: int, discount: float) -> DataFrame:
-    """(word, c, p): the probability of each word; p of the end token is its share."""
+    """(word, c, lp, ls): the logarithms of P and S of each word, from n training words of v kinds; the end token has neither."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces()
@@ -116,27 +123,26 @@ def lattice_scores(words: DataFrame, logp: np.ndarray, end: float, n: int, v: in
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(c - discount, 0) / n) if n else np.full(len(own), -np.inf)
             spelled = log + (np.log(discount * v / n) if n else 0.0)
-            lp = np.where([w == END for w in own], np.log((c + 1) / (n + 2)), np.logaddexp(whole, spelled))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp)], ["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.logaddexp(whole, spelled)), pa.array(log)], ["word", "c", "lp", "ls"])
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, lp double")
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, lp double, ls double")
 
 
-def postings(docs: DataFrame, hot: dict[bytes, tuple[int, float]], n: int, v: int, strength: float, held_col: str = "held_out") -> DataFrame:
+def postings(docs: DataFrame, hot: dict[bytes, tuple[int, float, float]], n: int, v: int, strength: float, held_col: str = "held_out") -> DataFrame:
     """A row per text with the sums over its frequent words, and a row per other word and task with the texts that have it."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, uids array<long>, tfs array<int>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, lattice double, word binary, uids array<long>, tfs array<int>"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         index = {w: i for i, w in enumerate(own)}
-        c, lp = (np.array([x[k] for x in own.values()], float) for k in (0, 1))
+        c, lp, ls = (np.array([x[k] for x in own.values()], float) for k in (0, 1, 2))
         base, prior, known = np.log10((c + 1) / (n + v + 1)), strength * np.exp(lp), c > 0
         rest: dict[bytes, tuple[list[int], list[int]]] = {}
 
         def others() -> pa.RecordBatch:
             k = len(rest)
-            none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(list(rest), pa.binary()), pa.array([x[0] for x in rest.values()], pa.list_(pa.int64())), pa.array([x[1] for x in rest.values()], pa.list_(pa.int32()))], names)
 
         names = [x.split()[0] for x in schema.split(", ")]
@@ -159,11 +165,11 @@ def postings(docs: DataFrame, hot: dict[bytes, tuple[int, float]], n: int, v: in
                     yield others()
                     rest.clear()
             m, i, r, size = np.array(tf, float), np.array(which, int), np.array(row, int), np.array(sizes, float)
-            add = lambda x: np.bincount(r, weights=x, minlength=batch.num_rows)  # noqa: E731, B023
+            add = lambda x: np.bincount(r, weights=x, minlength=batch.num_rows).astype(float)  # of no words it would be int  # noqa: E731, B023
             score = add(np.where(m == 1, np.log(prior[i]), log_gamma(prior[i] + m) - log_gamma(prior[i]))) if len(m) else np.zeros(len(size))
             score += log_gamma(np.full(len(size), strength)) - log_gamma(size + strength)
             nulls = [pa.nulls(batch.num_rows, t) for t in (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))]
-            values = [pa.array((size + 1).astype(np.int64)), pa.array(add(m * known[i]).astype(np.int64)), pa.array(add(m * base[i])), pa.array(score)]
+            values = [pa.array((size + 1).astype(np.int64)), pa.array(add(m * known[i]).astype(np.int64)), pa.array(add(m * base[i])), pa.array(score), pa.array(add(m * ls[i]))]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held"), *values, *nulls], names)
         yield others()
 
@@ -184,20 +190,22 @@ def lm_scores(docs: DataFrame, held_col: str = "held_out", strength: float = STR
     n, v = int(s["n"]), int(s["v"])
     discount = min(0.95, max(0.1, s["n1"] / (s["n1"] + 2 * s["n2"]) if s["n1"] else 0.5))
     pieces = load_pieces()
-    learnt, types = words.filter(is_word & (F.col("c") > 0)), float(max(1, v))
+    c_end = int(s["end"])
+    kinds = v - int(c_end > 0)  # distinct training words, n - c_end of them in all
+    learnt, types = words.filter(is_word & (F.col("c") > 0)), float(max(1, kinds))
     logp, end = normalised(pieces, scores_as_weights(pieces) * types, types)
     for _ in range(rounds):
         logp, end = normalised(pieces, expected_pieces(learnt, logp), types)
-    scored = staged(lattice_scores(words, logp, end, n, v, discount), "lm-scores")
-    hot = {bytes(r.word): (r.c, r.lp) for r in scored.filter(is_word & (F.col("c") >= F.lit(n / HOT)) & (F.col("c") > 0)).collect()}  # counts sum to n: at most HOT rows
+    scored = staged(lattice_scores(words.filter(is_word), logp, end, n - c_end, kinds, discount), "lm-scores")
+    hot = {bytes(r.word): (r.c, r.lp, r.ls) for r in scored.filter((F.col("c") >= F.lit(n / HOT)) & (F.col("c") > 0)).collect()}  # counts sum to n: at most HOT rows
     both = staged(postings(docs, hot, n, v, strength, held_col), "lm-postings")
     cold = both.filter("word is not null").select("word", "uids", "tfs").join(scored.filter((F.col("c") < F.lit(n / HOT)) | (F.col("c") == 0)), "word")
-    cold = cold.select("c", "lp", F.explode(F.arrays_zip("uids", "tfs")).alias("x")).select("c", "lp", F.col("x.uids").alias("uid"), F.col("x.tfs").alias("m"))
+    cold = cold.select("c", "lp", "ls", F.explode(F.arrays_zip("uids", "tfs")).alias("x")).select("c", "lp", "ls", F.col("x.uids").alias("uid"), F.col("x.tfs").alias("m"))
     cold = cold.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("b"), F.sum(rising(F.exp("lp") * strength, F.col("m"))).alias("s")
+        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("b"), F.sum(rising(F.exp("lp") * strength, F.col("m"))).alias("s"), F.sum(F.col("m") * F.col("ls")).alias("l")
     )
-    c_end = int(s["end"])
     p_end = (c_end + 1) / (n + 2)
+    ends = (F.col("n_tokens") - 1) * float(np.log1p(-p_end)) + float(np.log(p_end))
     out = both.filter("word is null").join(cold, "uid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
@@ -207,7 +215,8 @@ def lm_scores(docs: DataFrame, held_col: str = "held_out", strength: float = STR
         (F.col("n_known") + zero("k") + int(c_end > 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b") + float(np.log10((c_end + 1) / (n + v + 1)))).alias("base_score"),
-        ((F.col("score") + zero("s") + (F.col("n_tokens") - 1) * float(np.log1p(-p_end))) / LN10 + float(np.log10(p_end))).alias("score"),
+        ((F.col("score") + zero("s") + ends) / LN10).alias("score"),
+        ((F.col("lattice") + zero("l") + ends) / LN10).alias("lattice_score"),
     )
 
 

@@ -327,6 +327,30 @@ def test_lm_scores(spark):
     assert abs(float(lm_score.log_gamma(np.array([0.001]))[0]) - math.lgamma(0.001)) < 1e-9
 
 
+def test_lm_scores_against_brute_force(spark):
+    """Both scores from the formulas, with every segmentation written out."""
+    texts, held = ["ta ko ta", "ko mi mi", "ta", None, "raZZ ta ra ta", "ko é\u00a0x"], [False, False, False, False, True, True]
+    docs = table(spark, texts).withColumn("held_out", F.element_at(F.array(*map(F.lit, held)), F.col("doc_id").cast("int")))
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, strength=50.0, rounds=0).collect()}
+    words = [(t or "").encode().lower().split() for t in texts]
+    c = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    n, v, ends = sum(c.values()), len(c), held.count(False)
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    discount = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+    pieces = load_pieces()
+    logp, end = normalised(pieces, scores_as_weights(pieces) * v, v)
+    weight = dict(zip(pieces.names, np.exp(logp).tolist(), strict=True))
+    paths = lambda x: sum((weight[x[:k]] * (paths(x[k:]) if k < len(x) else 1.0) for k in range(1, len(x) + 1) if x[:k] in weight), 0.0)
+    spelled = lambda w: paths(b" " + w) * math.exp(end)
+    share = lambda w: max(c[w] - discount, 0) / n + discount * v / n * spelled(w)
+    p_end, mu = (ends + 1) / (n + ends + 2), 50.0
+    for i, ws in enumerate(words):
+        around = len(ws) * math.log(1 - p_end) + math.log(p_end)
+        mixed = math.lgamma(mu) - math.lgamma(mu + len(ws)) + sum(math.lgamma(mu * share(w) + m) - math.lgamma(mu * share(w)) for w, m in Counter(ws).items())
+        assert abs(got[i + 1].score - (mixed + around) / math.log(10)) < 1e-6
+        assert abs(got[i + 1].lattice_score - (sum(math.log(spelled(w)) for w in ws) + around) / math.log(10)) < 1e-6
+
+
 def brute_components(texts, ids):
     sets = []
     for t in texts:
