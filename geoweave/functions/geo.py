@@ -106,3 +106,36 @@ def ring_centroid(ring: Column) -> Column:
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / n
     pick = lambda k, m: F.when(t["s"] != 0, t[k] / (3 * t["s"])).otherwise(mean(m))
     return F.struct(pick("x", "lon").alias("lon"), pick("y", "lat").alias("lat"))
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring in square degrees, without sign."""
+    n = F.size(ring)
+    after = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.abs(F.aggregate(F.zip_with(ring, after, lambda a, b: a["lon"] * b["lat"] - b["lon"] * a["lat"]), F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def _weighted(parts: Column) -> Column:
+    """The mean (lon, lat) of structs (w, lon, lat) by weight; null without weight."""
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["w"])
+    mean = lambda k: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["w"] * x[k]) / total
+    return F.when(total != 0, F.struct(mean("lon").alias("lon"), mean("lat").alias("lat")))
+
+
+def _part(w: Column, lon: Column, lat: Column) -> Column:
+    return F.struct(w.cast("double").alias("w"), lon.alias("lon"), lat.alias("lat"))
+
+
+def geometry_centroid(points: Column, lines: Column, polygons: Column) -> Column:
+    """The centroid (lon, lat) of a geometry's members: polygons by area, holes taken off; without any with an area,
+    lines by length; without any with a length, the mean of all points. In degrees, as on a plane."""
+
+    def by_area(rings: Column) -> Column:
+        return F.transform(rings, lambda r, i: _part(F.when(i == 0, ring_area(r)).otherwise(-ring_area(r)), ring_centroid(r)["lon"], ring_centroid(r)["lat"]))
+
+    def by_length(line: Column) -> Column:
+        steps = F.zip_with(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 2, F.size(line)), lambda a, b: _part(F.hypot(b["lon"] - a["lon"], b["lat"] - a["lat"]), (a["lon"] + b["lon"]) / 2, (a["lat"] + b["lat"]) / 2))
+        return steps
+
+    every = F.concat(points, F.flatten(lines), F.flatten(F.flatten(polygons)))
+    return F.coalesce(_weighted(F.flatten(F.transform(polygons, by_area))), _weighted(F.flatten(F.transform(lines, by_length))), _weighted(F.transform(every, lambda p: _part(F.lit(1.0), p["lon"], p["lat"]))))

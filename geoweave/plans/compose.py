@@ -171,9 +171,31 @@ def indented(text: str, width: int = 2) -> str:
     return "\n".join(out)
 
 
-def provided_values(df: DataFrame, variable: str, wanted: Sequence[str]) -> DataFrame:
-    """Keep solutions whose variable is one of the values."""
-    return df.filter(F.col(variable).isin(list(wanted)))
+@dataclass(frozen=True)
+class ProvidedValues:
+    """Values given to a variable from outside. In a query of its own name the variable is called <query>_<variable>_,
+    so several queries can be given values side by side."""
+
+    variable: str
+    values: tuple[str, ...]
+
+    def name(self, query: str) -> str:
+        return f"{query}_{self.variable}_"
+
+    def text(self, query: str, body: str) -> str:
+        """The query's text with the variable renamed and an inline table before it, where it occurs; else as it is."""
+        old, new = f"?{self.variable}", f"?{self.name(query)}"
+        if old not in body:
+            return body
+        return f"VALUES {new} {{ {' '.join(self.values)} }}\n" + body.replace(old, new)
+
+    def applied(self, df: DataFrame, query: str) -> DataFrame:
+        """Solutions joined with the inline table, the variable renamed; a value given twice counts twice. Without the
+        variable as they are."""
+        if self.variable not in df.columns:
+            return df
+        given = df.sparkSession.createDataFrame([(v,) for v in self.values], f"`{self.name(query)}` string")
+        return df.withColumnRenamed(self.variable, self.name(query)).join(F.broadcast(given), self.name(query))
 
 
 @dataclass(frozen=True)
@@ -217,6 +239,3 @@ def load_files(path: str) -> dict[str, str]:
 def find_configs(files: Mapping[str, str]) -> dict[str, Any]:
     return {n: json.loads(t) for n, t in files.items() if n.endswith("_compose.json")}
 
-
-def selector(expr: str) -> Column:
-    return F.expr(expr)

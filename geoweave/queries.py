@@ -6,16 +6,18 @@ The tables have no coordinates; points are derived from keys by the same arithme
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.geo import haversine_km, haversine_sql, wkt_lat, wkt_lon, wkt_point
+from . import evaluation
+from .functions.geo import geometry_centroid, haversine_km, haversine_sql, wkt_lat, wkt_lon, wkt_point
 from .functions.literals import after, literal_type, literal_value, local_name, substituted
 from .operators import containment, relational, stats, triples
 from .operators.spatial_join import multi_nearest, spatial_join
 from .plans.casestudy import manifesto_name, polarisation
-from .plans.compose import QueryConfig
+from .plans.compose import ProvidedValues, QueryConfig
 from .sources import gtfs
 from .staging import new_folder
 
@@ -550,6 +552,93 @@ def stream_near_static(s, d):
     return s.read.schema(pairs.schema).parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.round(F.sum("dist_km"), 3).alias("total_km"))
 
 
+# --- centroids, flags, provided values, evaluation ---
+
+K1 = "(n_nationkey + 1e0)"
+
+
+@query(
+    f"SELECT n_nationkey, round(CASE n_nationkey % 3 WHEN 0 THEN ({K1} * {K1} / 2 + 2 * {K1}) / ({K1} + 2) WHEN 1 THEN (16 * 2e0 - 1.5 + {K1} * {K1} * (10 + {K1} / 2)) / (15 + {K1} * {K1}) ELSE ({K1} + 4) / 2 END, 6) AS lon, "
+    f"round(CASE n_nationkey % 3 WHEN 0 THEN 2 / ({K1} + 2) WHEN 1 THEN (16 * 2e0 - 1.5 + {K1} * {K1} * {K1} / 2) / (15 + {K1} * {K1}) ELSE 1.5 END, 6) AS lat FROM nation"
+)
+def geometry_centroids(s, d):
+    """Lines by length, polygons by area without holes, points by number."""
+    k = F.col("n_nationkey") + F.lit(1.0)
+    p = lambda x, y: F.struct((x if isinstance(x, Column) else F.lit(float(x))).alias("lon"), (y if isinstance(y, Column) else F.lit(float(y))).alias("lat"))
+    ring = lambda *at: F.array(*[p(*x) for x in (*at, at[0])])
+    kind = F.col("n_nationkey") % 3
+    line = F.array(F.array(p(0, 0), p(k, 0), p(k, 2)))
+    areas = F.array(F.array(ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (2, 1), (2, 2), (1, 2))), F.array(ring((10, 0), (10 + k, 0), (10 + k, k), (10, k))))
+    both = F.array(p(k, 1), p(4, 2))
+    pick = lambda i, x: F.when(kind == i, x).otherwise(F.slice(x, 1, 0))
+    c = geometry_centroid(pick(2, both), pick(0, line), pick(1, areas))
+    return table(s, d, "nation").select("n_nationkey", r6(c["lon"]).alias("lon"), r6(c["lat"]).alias("lat"))
+
+
+@query("SELECT CAST(n_nationkey % 4 AS VARCHAR) AS code, count_if(n_nationkey % 4 = 1) AS yes, count_if(n_nationkey % 4 = 0) AS no, count_if(n_nationkey % 4 > 1) AS neither FROM nation GROUP BY 1")
+def typed_flags(s, d):
+    """Objects that are typed booleans, as a column of flags; others have none."""
+    code = (F.col("n_nationkey") % 4).cast("string")
+    o = F.when(code == "0", F.lit('"false"^^xsd:boolean')).when(code == "1", F.lit('"true"^^xsd:boolean')).when(code == "2", F.lit('"true"')).otherwise(F.lit("ex:true"))
+    t = triples.typed(table(s, d, "nation").select(code.alias("s"), F.lit("ex:flag").alias("p"), o.alias("o")))
+    return t.groupBy(F.col("s").alias("code")).agg(F.count_if(F.col("flag")).alias("yes"), F.count_if(~F.col("flag")).alias("no"), F.count_if(F.col("flag").isNull()).alias("neither"))
+
+
+@query("SELECT c_mktsegment AS q1_segment_, count(*) AS n FROM customer JOIN (VALUES ('BUILDING'), ('MACHINERY'), ('MACHINERY'), ('NONE')) v(x) ON x = c_mktsegment GROUP BY 1")
+def provided_values(s, d):
+    """Values given from outside to a variable that is renamed for the query."""
+    given = ProvidedValues("segment", ("BUILDING", "MACHINERY", "MACHINERY", "NONE"))
+    own = given.applied(table(s, d, "customer").select(F.col("c_mktsegment").alias("segment")), "q1")
+    return own.groupBy("q1_segment_").agg(F.count("*").alias("n"))
+
+
+SIZES = "(SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier)"
+
+
+@query(f'SELECT l.name AS "left", r.name AS "right", form, CAST(l.n * r.n AS BIGINT) AS pairs FROM {SIZES} l, {SIZES} r, (VALUES (\'grid\'), (\'bbox\'), (\'nested_loop\')) f(form) WHERE l.name <> r.name AND (form <> \'nested_loop\' OR l.n * r.n <= 5000)')
+def task_matrix(s, d):
+    """Which forms of a search run on which pairs of sets: those of all pairs only up to a product of sizes."""
+    sizes = evaluation.set_sizes({t: table(s, d, t) for t in ("customer", "nation", "supplier")})
+    return s.createDataFrame([(t.left, t.right, t.form, t.pairs) for t in evaluation.tasks(sizes, most_pairs=5000)], "left string, right string, form string, pairs long")
+
+
+@query(f"SELECT 'f' || l.f AS feed, form, count(*) AS n FROM {points_sql('supplier', 's_suppkey', ', s_nationkey % 4 AS f')} l JOIN {points_sql('supplier', 's_suppkey', ', s_nationkey % 4 AS f')} r ON l.f = r.f, (VALUES ('grid'), ('bbox'), ('nested_loop')) v(form) WHERE {LR} <= 80 GROUP BY ALL")
+def feed_matrix(s, d):
+    """Stops within reach of stops, by feed, in three forms."""
+    out = []
+    n = suppliers(s, d, (F.col("s_nationkey") % 4).alias("f"))
+    for k in range(4):
+        own = n.filter(F.col("f") == k).drop("f")
+        for form in evaluation.FORMS:
+            pairs = spatial_join(own, own, max_distance_m=80_000, left_id="id", right_id="id", left_columns=(), strategy=form)
+            out.append(pairs.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(f"f{k}").alias("feed"), F.lit(form).alias("form"), "n"))
+    return reduce(DataFrame.union, out)
+
+
+@query("SELECT * FROM (VALUES ('grid', false), ('bbox', false), ('nested_loop', true)) v(form, all_pairs)")
+def captured_plans(s, d):
+    """Which forms compare all pairs, read off their plans."""
+    a, b = customers(s, d), suppliers(s, d)
+    plans = {f: evaluation.plan_text(spatial_join(a, b, max_distance_m=20_000, left_id="id", right_id="id", strategy=f)) for f in evaluation.FORMS}
+    return s.createDataFrame([(f, any(x in t for x in ("BroadcastNestedLoopJoin", "CartesianProduct"))) for f, t in plans.items()], "form string, all_pairs boolean")
+
+
+@query("SELECT event_type, count(value) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def statistics_files(s, d):
+    """Statistics written as CSV and JSON, both read back and merged."""
+    path = f"{new_folder(s, 'stats')}/events"
+    evaluation.write_stats(stats.time_summary(table(s, d, "events"), "value", ["event_type"]), path)
+    from_csv = s.read.csv(f"{path}/csv", header=True, inferSchema=True).select("event_type", F.col("n").cast("long"), r6("min").alias("min"), r6("max").alias("max"))
+    return from_csv.join(s.read.json(f"{path}/json").select("event_type", r6("mean").alias("mean")), "event_type")
+
+
+@query(f"SELECT 'l_quantity' AS term, round(b, 4) AS estimate, round(r2, 6) AS r2 FROM {OLS} UNION ALL SELECT '(intercept)', round(a, 4), round(r2, 6) FROM {OLS}")
+def model_file(s, d):
+    path = f"{new_folder(s, 'model')}/model"
+    evaluation.write_model(s, stats.linear_model(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity"]), path)
+    return s.read.csv(path, header=True, inferSchema=True).select("term", F.round("estimate", 4).alias("estimate"), r6("r2").alias("r2"))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

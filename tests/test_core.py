@@ -4,9 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from geoweave import evaluation
 from geoweave.functions import geo, literals
 from geoweave.operators import relational, spatial_join, stats, triples
-from geoweave.plans.compose import QueryConfig, ReplaceRule, SearchLimits, Template, chunks, indented
+from geoweave.plans.compose import ProvidedValues, QueryConfig, ReplaceRule, SearchLimits, Template, chunks, indented
 from geoweave.prefixes import Prefix, Prefixes
 from geoweave.sources import bundle, gtfs, kml, sinks, tables
 
@@ -123,6 +124,16 @@ def test_quantiles_of_large_groups(spark, monkeypatch):
     assert sorted(map(tuple, stats.exclusive_quantile(df, "v", ["k"], points).collect())) == want
 
 
+def test_evaluation(spark):
+    assert [(t.left, t.right, t.form) for t in evaluation.tasks({"a": 10, "b": 20}, most_pairs=100)] == [(l, r, f) for l, r in (("a", "b"), ("b", "a")) for f in ("grid", "bbox")]
+    assert len(evaluation.tasks({"a": 10}, same=True)) == 3
+    assert len(evaluation.timed(spark, lambda: spark.range(10), iterations=3, pause_s=0)) == 3
+    assert len(evaluation.timed(spark, lambda: spark.range(10), iterations=3, no_repeat_after_s=0, pause_s=0)) == 1
+    assert evaluation.summary([3.0, 1.0, 2.0])["median"] == 2.0 and "Range" in evaluation.plan_text(spark.range(3))
+    given = ProvidedValues("x", ('"a"', '"b"'))
+    assert given.text("q", "{ ?x ex:p ?y }") == 'VALUES ?q_x_ { "a" "b" }\n{ ?q_x_ ex:p ?y }' and given.text("q", "{ ?z a ?y }") == "{ ?z a ?y }"
+
+
 def test_compose():
     assert str(SearchLimits("s2", 100, 5)) == "numNearestNeighbors5_maxDist100" and chunks([1, 2, 3], 2) == [[1, 2], [3]]
     for bad in (lambda: SearchLimits("s2"), lambda: ReplaceRule("a"), lambda: QueryConfig(())):
