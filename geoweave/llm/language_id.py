@@ -13,6 +13,7 @@ language or id don't train; without any training row all are `und`; null ids are
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -141,7 +142,7 @@ def predict(docs: DataFrame, models: list[tuple[str, float, np.ndarray, float]],
     """(doc_id, lang_pred, score) and the columns in keep for each row; models grow with languages only."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)
-    key = f"{spark.sparkContext.applicationId}-{id(shared)}-{len(models)}"
+    key = uuid.uuid4().hex  # of this call's models, in whichever worker
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(key, _Loader(shared)) if models else None

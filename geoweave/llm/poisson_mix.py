@@ -60,28 +60,29 @@ def source_rates(docs: DataFrame, source_col: str, targets: dict[str, float] | N
 
 
 def replicated(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """docs with __rate, __u, __count and one row per copy (__copy from 1) with __key, in no order."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    name = F.col(f"`{id_col}`").cast("string")
-    named = docs.filter(F.col(f"`{id_col}`").isNotNull()).withColumn("__name", name)
+    """(__doc, __name, __rate, __u, __count, __copy, __key, __row): a row per copy of a row of docs, in no order.
+
+    __doc is the row; it is kept in one column, so no name clashes.
+    """
+    doc, name = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{id_col}`").cast("string")
+    whole = docs.select(doc.alias("__doc"), name.alias("__name"), F.col(f"`{source_col}`").alias("__from"))
     # rows without an id: equal ones are counted in the map tasks first, then numbered
-    alike = docs.filter(F.col(f"`{id_col}`").isNull()).groupBy(*cols).agg(F.count("*").alias("__many"))
-    content = F.concat(F.lit("null-"), F.xxhash64(*cols).cast("string"), F.lit("-"))
-    unnamed = alike.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__many").cast("int")))).withColumn("__name", F.concat(content, F.col("__nth").cast("string")))
-    both = named.union(unnamed.select(*cols, "__name"))
-    out = both.join(rates, both[source_col].eqNullSafe(rates["__source"])).drop("__source")
+    alike = whole.filter("__name is null").groupBy("__doc", "__from").agg(F.count("*").alias("__many"))
+    nth = alike.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__many").cast("int"))))
+    unnamed = nth.select("__doc", F.concat(F.lit("null-"), F.xxhash64("__doc").cast("string"), F.lit("-"), F.col("__nth").cast("string")).alias("__name"), "__from")
+    out = whole.filter("__name is not null").union(unnamed).join(rates, F.col("__from").eqNullSafe(F.col("__source")))
     out = out.withColumn("__u", unit_hash(F.concat_ws("|", F.lit(seed), F.col("__name"))))
-    out = out.withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).drop("__cdf").filter("__count > 0")
+    out = out.withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).filter("__count > 0").drop("__cdf", "__source", "__from")
     out = out.withColumn("__row", F.monotonically_increasing_id()).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     order = F.concat_ws("|", F.lit(seed + "-order"), F.col("__name"), F.col("__copy").cast("string"))
-    return out.withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long")).drop("__name")
+    return out.withColumn("__key", F.conv(F.substring(F.md5(order), 1, 12), 16, 10).cast("long"))
 
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, extra: bool = False) -> DataFrame:
     """The mixed corpus in shuffled order, with the columns of docs (and with extra the working columns)."""
     rates = source_rates(docs.select(source_col), source_col, targets, alpha)
-    out = replicated(docs, rates, id_col, source_col, seed).orderBy("__key", id_col, "__copy", "__row").drop("__row")
-    return out if extra else out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = replicated(docs, rates, id_col, source_col, seed).orderBy("__key", "__name", "__copy", "__row")
+    return out.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns], *["__rate", "__u", "__count", "__copy", "__key"] * extra)
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ times the unlabelled rows' share of that pool. It is fitted on a bounded sample,
 (max_positive and max_unlabelled documents); every document is scored over its whole text.
 
 Defined cases: null and empty texts score as the bias says; ids that repeat are scored row by row,
-and of repeated labels any toxic one counts; null ids are neither learnt from nor held out; without
+and of repeated labels any toxic one counts, and one of the rows is learnt from; null ids are neither learnt from nor held out; without
 positives or without unlabelled text all scores are 0.
 """
 
@@ -78,6 +78,17 @@ def rows_and_columns(docs: list[np.ndarray], names: np.ndarray) -> tuple[np.ndar
     return np.repeat(np.arange(len(docs)), [len(x) for x in found]), np.concatenate(found)
 
 
+def risk_of(model: Classifier, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[float, float]:
+    """The two parts of the risk, with the logistic loss: pi R+(positives), and R-(unlabelled) - pi R-(positives)."""
+
+    def scores(docs: list[np.ndarray]) -> np.ndarray:
+        row, col = rows_and_columns(docs, model.features)
+        return np.bincount(row, weights=model.weights[col], minlength=len(docs)) + model.bias
+
+    z_p, z_u = scores(positive), scores(unlabelled)
+    return prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
     """Minimise the non-negative PU risk with the logistic loss by full-batch Adam."""
     names = choose(positive, unlabelled, prior)
@@ -117,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             out = [np.unique(np.array([f for w in set(words_of(t or "")) for f in features_of(w)], np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(out, pa.binary())], ["p", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("p"), pa.array(out, pa.binary())], ["doc_id", "p", "f"])
 
     def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: dict[bool, list[bytes]] = {True: [], False: []}
@@ -130,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([model.features.astype("<u4").tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["f", "w", "bias"])
 
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # about max_positive + max_unlabelled ids
-    found = sample.select("p", "text").mapInArrow(run, "p boolean, f binary").repartition(1).mapInArrow(learn, "f binary, w binary, bias double").first()  # the sample fits a task
+    # of rows that repeat an id one is learnt from, so the ids bound the sample, and it fits a task
+    features = sample.select("doc_id", "p", "text").mapInArrow(run, "doc_id long, p boolean, f binary").groupBy("doc_id", "p").agg(F.min("f").alias("f"))
+    found = features.select("p", "f").repartition(1).mapInArrow(learn, "f binary, w binary, bias double").first()
     return Classifier(np.frombuffer(found.f, "<u4"), np.frombuffer(found.w, float), found.bias) if found else None
 
 

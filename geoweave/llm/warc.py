@@ -28,6 +28,8 @@ from .common import new_folder, staged
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL = 8 << 20, 64 << 10, 3
+#: Payload that a task reads back.
+READ_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "path string, records long, payload_bytes long, file_bytes long"
@@ -156,8 +158,9 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                     cols = zip(*rows[at : at + 1000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    tasks = max(1, manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.select("path").repartition(max(tasks, int(manifest.count() ** 0.5)), "path").mapInArrow(run, schema)
+    size = manifest.agg(F.sum("payload_bytes")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:

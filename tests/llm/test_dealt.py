@@ -430,3 +430,46 @@ def test_toxicity(spark):
     assert all(0 <= r.s < 0.5 for r in odd)
     assert toxicity.train(docs.limit(0), truth) is None
     assert toxicity.scored(docs, None, name="s").filter("s <> 0").count() == 0
+
+
+def test_toxicity_risk_against_brute_force():
+    """The risk written out document by document, and that the fit can't be bettered by moving one weight."""
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(1, 30, 8)).astype(np.uint32) for _ in range(400)]
+    positive, unlabelled, prior = [np.union1d(t, [np.uint32(50)]) if i % 2 else np.union1d(t, [np.uint32(51)]) for i, t in enumerate(texts[:60])], texts[60:], 0.1
+    unlabelled[:20] = [np.union1d(t, [np.uint32(50)]) for t in unlabelled[:20]]
+    model = toxicity.fit(positive, unlabelled, prior)
+    table = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    z = lambda d: model.bias + sum(table.get(int(f), 0.0) for f in d)
+    loss = lambda x: math.log1p(math.exp(-x))
+    plus = prior * sum(loss(z(d)) for d in positive) / len(positive)
+    minus = sum(loss(-z(d)) for d in unlabelled) / len(unlabelled) - prior * sum(loss(-z(d)) for d in positive) / len(positive)
+    got = toxicity.risk_of(model, positive, unlabelled, prior)
+    assert abs(got[0] - plus) < 1e-9 and abs(got[1] - minus) < 1e-9 and minus > -0.01
+    assert {50, 51} <= set(table) and all(z(d) > 0 for d in positive[:2]) and max(z(d) for d in unlabelled[20:]) < 0
+    total = lambda m: (lambda a, b: a + max(0.0, b))(*toxicity.risk_of(m, positive, unlabelled, prior)) + 5e-5 * float((m.weights**2).sum())
+    for i in range(len(model.weights)):
+        for step in (-1.0, 1.0):
+            other = toxicity.Classifier(model.features, model.weights + step * (np.arange(len(model.weights)) == i), model.bias)
+            assert total(other) >= total(model) - 1e-3
+
+
+def test_language_posterior_against_brute_force(spark):
+    """Each language's likelihood over all segmentations, written out."""
+    pieces, rng = load_pieces(), np.random.default_rng(4)
+    models = []
+    for lang, share in (("aa", 0.75), ("bb", 0.25)):
+        logp, end = normalised(pieces, rng.random(len(pieces.names)), 10.0)
+        models.append((lang, share, logp, end))
+    texts = ["Hello there, world", "x1 straße", "a", "b b b b b"]
+    got = language_id.predict(table(spark, texts), models).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        words = [w.encode() for w in language_id.words_of(t)]
+        logs = []
+        for _, share, logp, end in models:
+            weight = dict(zip(pieces.names, np.exp(logp).tolist(), strict=True))
+            paths = lambda x, weight=weight: sum((weight[x[:k]] * (paths(x[k:], weight) if k < len(x) else 1.0) for k in range(1, len(x) + 1) if x[:k] in weight), 0.0)
+            logs.append(math.log(share) + sum(math.log(paths(b" " + w)) + end for w in words))
+        best = int(np.argmax(logs))
+        p = [math.exp((x - max(logs)) / math.sqrt(len(words))) for x in logs]
+        assert r.lang_pred == models[best][0] and abs(r.score - p[best] / sum(p)) < 1e-9

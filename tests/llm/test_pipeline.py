@@ -44,6 +44,18 @@ def test_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like the stages' own stay as they are."""
+    rows = [(i, f"some text of five words {i // 2}", "en", "a" if i % 3 else None, 9, i, 0.9, 3, f"k{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __gone long, toxicity double, token long, __rn string")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(tuple(r) in rows for r in found), name
+
+
 def test_near_copies_between_the_limits(spark):
     """Five words and 0.8, not op9's three and 0.9: 96/111 goes (3 words: 98/113 < 0.9), so does an edit in the middle; 0.79 stays."""
     first, second, third = ([f"{k}{i}" for i in range(100)] for k in "abc")
