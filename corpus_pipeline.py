@@ -6,6 +6,7 @@ written as Parquet and read again. All but the last return the columns of docume
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     workers_find_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.learnable(docs), labels)
-    return toxicity.scored(docs, model, name="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
+    name = f"toxicity_{uuid.uuid4().hex}"  # no column of docs
+    return toxicity.scored(docs, model, name=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id stays; rows without an id stay."""
     workers_find_package(spark)
-    gone = ngram_join.near_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = ngram_join.near_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).filter("doc_id <> component_id").select("doc_id")
+    return docs.alias("d").join(gone.alias("gone"), F.col("d.doc_id") == F.col("gone.doc_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
