@@ -2,8 +2,11 @@
 
 The decoder reads prefix codes, back-references and the colour cache, several code groups by a meta
 image, and inverts the predictor, cross-colour, subtract-green and palette transforms. The encoder
-writes the same format: optional forward transforms, runs as back-references, an optional colour
-cache, optimal prefix codes of at most 12 bits.
+writes the same format: the transforms that an image gains from (which text seldom does), runs of one
+pixel as back-references, the colour cache where it saves bits, prefix codes of at most 12 bits. Images
+of Latin text for which codes of their own would save less than a sixth share a fixed set of codes,
+and a code header that a worker has read before isn't parsed again: with codes of its own, a cache
+and general back-references for every image, Python takes four times as long for a fifth less bytes.
 
 Payloads are stored as 24-bit samples (3 bytes a pixel, alpha 255) in rows of 192 pixels or a
 multiple of that, so that both sides stay within 16384; pixels that fill up the last row have
@@ -46,6 +49,8 @@ NEAR = (
 )
 CACHE_MULTIPLIER = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: Size of the colour cache that is tried; bits a byte from which transforms are tried.
+CACHE_BITS, TEXT_BITS = 6, 6.0
 
 
 # --- prefix codes ---
@@ -80,12 +85,12 @@ class Code:
         top = int(size[-1])
         if int(np.left_shift(1, top - size).sum()) != 1 << top:
             raise ValueError("a prefix code is not complete")
+        # a code of s bits fills every place that ends in it, 2^(top - s) of them
+        places = np.left_shift(1, top - size)
+        which = np.repeat(np.arange(len(size)), places)
+        nth = np.arange(1 << top) - np.repeat(np.cumsum(places) - places, places)
         table = np.zeros(1 << top, np.int64)
-        for s in range(1, top + 1):
-            pick = size == s
-            if pick.any():
-                at = codes[pick][:, None] + (np.arange(1 << (top - s)) << s)
-                table[at] = (symbols[pick] << 4 | s)[:, None]
+        table[codes[which] + (nth << size[which])] = (symbols << 4 | size)[which]
         self.mask, self.symbols, self.sizes = (1 << top) - 1, (table >> 4).tolist(), (table & 15).tolist()
 
 
@@ -93,11 +98,7 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
         self.size = len(data) * 8
-        raw = np.frombuffer(data + bytes(16), np.uint8).astype(np.uint64)
-        ahead = np.zeros(len(data) + 8, np.uint64)
-        for k in range(8):
-            ahead |= raw[k : k + len(data) + 8] << np.uint64(8 * k)
-        self.ahead = ahead.tolist()
+        self.ahead = np.ndarray((len(data) + 8,), "<u8", data + bytes(16), strides=(1,)).tolist()
 
     def read(self, n: int) -> int:
         at = self.at
@@ -558,14 +559,34 @@ def prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
 
 
-def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: int = 0) -> None:
-    """Entropy-code flat pixels: runs of one pixel as back-references of distance 1, the colour cache where asked for."""
+def entropy(counts: np.ndarray) -> float:
+    """Bits that symbols with these counts take at least."""
+    n = counts[counts > 0].astype(float)
+    return float((n * np.log2(n.sum() / n)).sum()) if len(n) else 0.0
+
+
+def cache_hits(argb: np.ndarray, bits: int) -> np.ndarray:
+    """Where in the colour cache each pixel stands, -1 where it isn't there."""
+    slot = ((argb.astype(np.int64) * CACHE_MULTIPLIER) & 0xFFFFFFFF) >> (32 - bits)
+    order = np.argsort(slot, kind="stable")
+    same = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    out = np.full(len(argb), -1)
+    out[order[1:][same]] = slot[order[1:][same]]
+    return out
+
+
+def prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number for values from 1 on."""
+    v = v.astype(np.int64) - 1
+    top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
+
+
+def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: int | None = 0) -> None:
+    """Entropy-code flat pixels: runs of one pixel as back-references of distance 1; cache_bits: of the colour cache,
+    None: CACHE_BITS where codes of the image's own are needed and the cache saves bits."""
     n = len(argb)
-    out.put(cache_bits > 0, 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
-    if main:
-        out.put(0, 1)
     same = np.concatenate(([False], argb[1:] == argb[:-1]))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
@@ -582,22 +603,30 @@ def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: in
     at = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
     x = channels(argb)[at]
     green = x[:, 1].astype(np.int64)
-    literal = np.ones(len(at), bool)
+    literal, near = np.ones(len(at), bool), None
+    if cache_bits is None:
+        cache_bits, plain = 0, [np.bincount(x[:, c], minlength=k) for c, k in ((1, 280), (2, 256), (0, 256))]
+        near = usual_is_near(plain)
+        if len(at) >= 64 and not near:
+            found = cache_hits(argb, CACHE_BITS)[at]
+            rest = x[found < 0]
+            cost = entropy(np.bincount(np.where(found < 0, green, 256 + found))) + sum(entropy(np.bincount(rest[:, c])) for c in (2, 0)) + 3 * (1 << CACHE_BITS)
+            cache_bits = CACHE_BITS if cost < sum(map(entropy, plain)) else 0
+    if cache_bits:
+        found = cache_hits(argb, cache_bits)[at]
+        literal = found < 0
+        green = np.where(literal, green, 280 + found)
+    out.put(cache_bits > 0, 1)
     if cache_bits:
-        slots, found = [0] * (1 << cache_bits), np.full(n, -1)
-        for i, v in enumerate(argb.tolist()):
-            h = ((v * CACHE_MULTIPLIER) & 0xFFFFFFFF) >> (32 - cache_bits)
-            if slots[h] == v and i:
-                found[i] = h
-            slots[h] = v
-        literal = found[at] < 0
-        green = np.where(literal, green, 280 + found[at])
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
     run_symbol, run_extra, run_size = prefix_of(stops - starts) if len(starts) else (np.zeros(0, np.int64),) * 3
     counts = [np.bincount(np.concatenate((green, 256 + run_symbol)), minlength=280 + (1 << cache_bits if cache_bits else 0))]
     counts += [np.bincount(x[literal, c], minlength=256) for c in (2, 0, 3)]
     # distance 1 is near offset 2, whose prefix symbol is 1
     lengths = (*usual_lengths(), np.bincount([255], minlength=256).astype(np.uint8), np.bincount([1], minlength=40).astype(np.uint8))
-    if cache_bits or not main or counts[3].sum() != counts[3][255] or not usual_is_near(counts):
+    if cache_bits or not main or counts[3].sum() != counts[3][255] or not (usual_is_near(counts) if near is None else near):
         lengths = (*map(code_lengths, counts), lengths[4])
     for k in lengths:
         header, size = code_bits(k.tobytes())
@@ -615,16 +644,53 @@ def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: in
     out.put_many(value, bits)
 
 
-def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] = (), cache_bits: int = 0) -> bytes:
+def chosen(argb: np.ndarray) -> tuple[tuple, ...]:
+    """Transforms that an image's pixels gain from, by the entropy of what is left: the palette for up to 16 colours;
+    else, where its bytes are not as uneven as those of text, subtract-green, predictors by block, and cross-colour."""
+    if len(np.unique(argb)) <= 16:
+        return ((PALETTE,),)
+    x = channels(argb)
+    if entropy(np.bincount(x[..., :3].reshape(-1), minlength=256)) < TEXT_BITS * argb.size * 3:
+        return ()
+    cost = lambda y: sum(entropy(np.bincount(y[..., c].reshape(-1), minlength=256)) for c in range(3))
+    best, picked = cost(x), ()
+    tries = [((SUBTRACT_GREEN,),)]
+    blocks_ = (-(-argb.shape[0] >> 4), -(-argb.shape[1] >> 4))
+    tries += [((PREDICTOR, 4, np.full(blocks_, mode)),) for mode in (1, 2, 7, 12)]
+    tries += [((CROSS_COLOUR, 4, np.full(blocks_, 0xFF000000 | e)),) for e in (0x20, 0x2020, 0x202020)]
+    for t in tries:
+        left = x
+        for kind, *rest in t:
+            left = channels(green_added(argb, -1) if kind == SUBTRACT_GREEN else residuals(argb, *rest) if kind == PREDICTOR else cross_colour(argb, rest[1].astype(np.uint32), rest[0], -1))
+        if (own := cost(left) + 64) < best:
+            best, picked = own, t
+    return picked
+
+
+def residuals(argb: np.ndarray, shift: int, modes: np.ndarray) -> np.ndarray:
+    """What predictors leave of an image."""
+    x = channels(argb).astype(np.int64)
+    left, top = np.roll(x, 1, axis=1), np.roll(x, 1, axis=0)
+    top_right, top_left = np.roll(x.reshape(-1, 4), x.shape[1] - 1, axis=0).reshape(x.shape), np.roll(left, 1, axis=0)
+    guess, kinds = np.zeros_like(x), spread(modes, shift, *argb.shape)
+    for mode in np.unique(kinds).tolist():
+        guess = np.where((kinds == mode)[..., None], predicted(mode, left, top, top_right, top_left), guess)
+    guess[0], guess[1:, 0] = left[0], top[1:, 0]
+    guess[0, 0] = (0, 0, 0, 255)
+    return np.ascontiguousarray(((x - guess) & 255).astype(np.uint8)).view("<u4").reshape(argb.shape)
+
+
+def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] | None = (), cache_bits: int | None = 0) -> bytes:
     """A lossless WebP file of (height, width, 4) bytes red, green, blue, alpha.
 
     transforms, in order: (PREDICTOR, shift, modes), (CROSS_COLOUR, shift, elements), (SUBTRACT_GREEN,), (PALETTE,);
-    modes and elements are arrays with a number per block.
+    modes and elements are arrays with a number per block. None: those that the image gains from; so for cache_bits.
     """
     h, w, _ = pixels.shape
     if not (0 < h <= MAX_SIDE and 0 < w <= MAX_SIDE):
         raise ValueError("a side is outside 1 to 16384")
     argb = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).view("<u4").reshape(h, w)
+    transforms = chosen(argb) if transforms is None else transforms
     out = Writer()
     out.put(0x2F, 8)
     out.put(w - 1, 14)
@@ -638,15 +704,7 @@ def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] = (), cache_bits: i
             shift, modes = rest
             out.put(shift - 2, 3)
             put_pixels(out, (0xFF000000 | modes.astype(np.uint32) << 8).reshape(-1).astype(np.uint32))
-            x = channels(argb).astype(np.int64)
-            left, top = np.roll(x, 1, axis=1), np.roll(x, 1, axis=0)
-            top_right, top_left = np.roll(x.reshape(-1, 4), x.shape[1] - 1, axis=0).reshape(x.shape), np.roll(left, 1, axis=0)
-            guess, kinds = np.zeros_like(x), spread(modes, shift, *argb.shape)
-            for mode in np.unique(kinds).tolist():
-                guess = np.where((kinds == mode)[..., None], predicted(mode, left, top, top_right, top_left), guess)
-            guess[0], guess[1:, 0] = left[0], top[1:, 0]
-            guess[0, 0] = (0, 0, 0, 255)
-            argb = np.ascontiguousarray(((x - guess) & 255).astype(np.uint8)).view("<u4").reshape(argb.shape)
+            argb = residuals(argb, shift, modes)
         elif kind == CROSS_COLOUR:
             shift, elements = rest
             out.put(shift - 2, 3)
@@ -684,8 +742,7 @@ def store(payload: bytes) -> bytes:
     pixels[: rows * 192, :3] = np.frombuffer(payload, np.uint8).reshape(-1, 3)
     pixels[: rows * 192, 3] = 255  # pixels that fill up the last row are transparent
     pixels = pixels.reshape(down, across * 192, 4)
-    few = len(np.unique(pixels.view("<u4"))) <= 16
-    return encode(pixels, ((PALETTE,),) if few else ())
+    return encode(pixels, None, None)
 
 
 def load(media: bytes) -> np.ndarray:

@@ -235,6 +235,24 @@ def test_webp_transforms():
                     assert (webp.decode(webp.encode(image, transforms, cache)) == image).all()
 
 
+def test_webp_picks_what_an_image_gains_from():
+    rng = np.random.default_rng(6)
+    smooth = np.cumsum(np.cumsum(rng.integers(-2, 3, (40, 192, 3)), 0), 1).astype(np.uint8).tobytes()
+    repeats = b"".join(rng.choice([bytes(rng.integers(0, 256, 3).astype(np.uint8)) for _ in range(40)], 192 * 20).tolist())
+    grey = np.repeat(rng.integers(0, 256, 192 * 20), 3).astype(np.uint8).tobytes()
+    kinds = set()
+    for payload in (smooth, repeats, grey, "Простой текст на русском языке, повторы и повторы. ".encode() * 300):
+        payload = payload[: len(payload) // 576 * 576]
+        media = webp.store(payload)
+        assert webp.load(media).tobytes() == payload
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, 192, 3)
+        argb = np.ascontiguousarray(np.concatenate((pixels[..., ::-1], np.full((*pixels.shape[:2], 1), 255, np.uint8)), axis=2)).view("<u4")[..., 0]
+        picked = webp.chosen(argb)
+        kinds.add(picked[0][0] if picked else None)
+        assert len(media) <= len(webp.encode(np.concatenate((pixels, np.full((*pixels.shape[:2], 1), 255, np.uint8)), axis=2))) + 64
+    assert {webp.PREDICTOR, webp.SUBTRACT_GREEN} <= kinds
+
+
 def test_webp_rejects_cut_files():
     data = webp.store(b"hello world " * 48)
     with pytest.raises(ValueError):
