@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 
 import numpy as np
 
@@ -58,7 +57,3 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[tuple[int, int], tuple
         left, right = m.split(" ") if isinstance(m, str) else m
         merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
     return tokens, merges, added
-
-
-def is_letter_category(c: str) -> bool:
-    return unicodedata.category(c).startswith("L")
