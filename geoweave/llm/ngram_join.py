@@ -199,7 +199,8 @@ def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
     Members of a list are grouped by component (those of BLOCK members or more; the others together), size class
     and quarter of the prefix; a group is split into blocks by a hash. Pairs of groups that can't hold a link are left out.
     """
-    big = lists.groupBy("token", "comp").agg(F.count("*").alias("k")).filter(F.col("k") >= BLOCK).select("token", "comp", F.col("comp").alias("own"))
+    # stored, so that its join reads plain exchanges and the partition of a large component can be split
+    big = staged(lists.groupBy("token", "comp").agg(F.count("*").alias("k")).filter(F.col("k") >= BLOCK).select("token", "comp", F.col("comp").alias("own")), "ngram-big")
     width = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     kind = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
     members = lists.join(big, ["token", "comp"], "left").withColumn("group", F.xxhash64(F.col("own").isNull(), "own", kind, F.floor(4 * F.col("at") / width)))
@@ -364,7 +365,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = lists.drop("common").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     labelled = staged(labelled, "ngram-labelled")
     several = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = labelled.join(several, "token", "left_semi").join(tops.select("token", "id0"), "token").withColumn("a", F.least("id", "id0")).withColumn("b", F.greatest("id", "id0"))
+    # a row a list; joined to the members once, as two joins by one key in a row can't be split
+    heads = staged(several.join(tops.select("token", "id0"), "token"), "ngram-heads")
+    rest = labelled.join(heads, "token").withColumn("a", F.least("id", "id0")).withColumn("b", F.greatest("id", "id0"))
     diff = F.when(F.col("id") == F.col("id0"), F.lit(0)).otherwise(F.coalesce("diff", F.lit(-1))).cast("long")
     rest = staged(rest.join(answers.drop("link"), ["a", "b"], "left").withColumn("diff", diff).drop("a", "b", "id0"), "ngram-several")
     whole = rest.filter(F.col("size") <= SHORT).select("token", *[F.lit(0).alias(c) for c in ("pair", "left", "right")], F.lit(-1).alias("block"), "id", "n", "at", "diff", "comp")
