@@ -6,7 +6,12 @@ writes the same format: the transforms that an image gains from (which text seld
 pixel as back-references, the colour cache where it saves bits, prefix codes of at most 12 bits. Images
 of Latin text for which codes of their own would save less than a sixth share a fixed set of codes,
 and a code header that a worker has read before isn't parsed again: with codes of its own, a cache
-and general back-references for every image, Python takes four times as long for a fifth less bytes.
+and general back-references for every image, Python took four times as long (one by one) for a fifth less bytes.
+
+Calls of numpy on one image of a few hundred pixels cost more than the pixels, so a block's images are
+stored and read side by side: a stream is still read symbol by symbol from its own bits, but a pixel of
+every image at a time. What that doesn't know (transforms, meta images, alpha, references farther back,
+images of a million pixels) goes through the encoder and decoder of single images, which give the same.
 
 Payloads are stored as 24-bit samples (3 bytes a pixel, alpha 255) in rows of 192 pixels or a
 multiple of that, so that both sides stay within 16384; pixels that fill up the last row have
@@ -23,6 +28,7 @@ import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +57,10 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Size of the colour cache that is tried; bits a byte from which transforms are tried.
 CACHE_BITS, TEXT_BITS = 6, 6.0
+#: Images are read side by side so many pixels at a time, and one by one when fewer than this are left.
+STEPS, FEWEST_LANES = 32, 32
+#: Larger images are stored and read one by one. Bytes of text and images that are stored and read side by side.
+MANY_PIXELS, BLOCK, MANY = 1 << 20, 1 << 22, 2048
 
 
 # --- prefix codes ---
@@ -71,14 +81,12 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Code:
-    """A prefix code as a table: bits ahead -> (symbol, length)."""
-
-    __slots__ = ("mask", "symbols", "sizes")
+    """A prefix code as a table: bits ahead -> symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if len(used) <= 1:  # a lone symbol takes no bits
-            self.mask, self.symbols, self.sizes = 0, [int(used[0]) if len(used) else 0], [0]
+            self.mask, self.table = 0, used[:1] << 4 if len(used) else np.zeros(1, np.int64)
             return
         symbols, codes = canonical(lengths)
         size = lengths[symbols].astype(np.int64)
@@ -89,27 +97,41 @@ class Code:
         places = np.left_shift(1, top - size)
         which = np.repeat(np.arange(len(size)), places)
         nth = np.arange(1 << top) - np.repeat(np.cumsum(places) - places, places)
-        table = np.zeros(1 << top, np.int64)
-        table[codes[which] + (nth << size[which])] = (symbols << 4 | size)[which]
-        self.mask, self.symbols, self.sizes = (1 << top) - 1, (table >> 4).tolist(), (table & 15).tolist()
+        self.mask, self.table = (1 << top) - 1, np.zeros(1 << top, np.int64)
+        self.table[codes[which] + (nth << size[which])] = (symbols << 4 | size)[which]
+
+    @functools.cached_property
+    def symbols(self) -> list[int]:
+        return (self.table >> 4).tolist()
+
+    @functools.cached_property
+    def sizes(self) -> list[int]:
+        return (self.table & 15).tolist()
 
 
 class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
         self.size = len(data) * 8
-        self.ahead = np.ndarray((len(data) + 8,), "<u8", data + bytes(16), strides=(1,)).tolist()
+
+    @functools.cached_property
+    def ahead(self) -> list[int]:
+        return np.ndarray((len(self.data) + 8,), "<u8", self.data + bytes(16), strides=(1,)).tolist()
+
+    def window(self, at: int) -> int:
+        """At least 57 bits from bit at on."""
+        return int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
 
     def read(self, n: int) -> int:
         at = self.at
         self.at = at + n
         if self.at > self.size:
             raise ValueError("the bit stream ends early")
-        return (self.ahead[at >> 3] >> (at & 7)) & ((1 << n) - 1)
+        return self.window(at) & ((1 << n) - 1)
 
     def symbol(self, code: Code) -> int:
         at = self.at
-        k = (self.ahead[at >> 3] >> (at & 7)) & code.mask
+        k = self.window(at) & code.mask
         self.at = at + code.sizes[k]
         if self.at > self.size:
             raise ValueError("the bit stream ends early")
@@ -171,28 +193,32 @@ def read_groups(bits: Bits, alphabet: tuple[int, ...], n: int) -> list[list[Code
     known = _headers.get(key)
     if known and bits.data.startswith(known[0], first):
         tail = bits.at + known[1]
-        if bits.ahead[tail >> 3] & ((1 << (tail & 7)) - 1) == known[2]:
+        if bits.window(tail & ~7) & ((1 << (tail & 7)) - 1) == known[2]:
             bits.at = tail
             return known[3]
     groups = [[code_of(read_lengths(bits, k).tobytes()) for k in alphabet] for _ in range(n)]
     if n == 1:
         if len(_headers) > 256:
             _headers.clear()
-        _headers[key] = (bits.data[first : bits.at >> 3], bits.at - 8 * first - phase, bits.ahead[bits.at >> 3] & ((1 << (bits.at & 7)) - 1), groups)
+        _headers[key] = (bits.data[first : bits.at >> 3], bits.at - 8 * first - phase, bits.window(bits.at & ~7) & ((1 << (bits.at & 7)) - 1), groups)
     return groups
 
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
-    """An entropy-coded image as flat ARGB numbers."""
+def read_codes(bits: Bits, width: int, height: int, main: bool) -> tuple[int, np.ndarray | None, int, list[list[Code]]]:
+    """What stands before the pixels: bits of the colour cache, the meta image and its shift, the groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     meta, shift = None, 0
     if main and bits.read(1):
         shift = bits.read(3) + 2
-        across = -(-width >> shift)
-        meta = (read_pixels(bits, across, -(-height >> shift)) >> 8) & 0xFFFF
+        meta = (read_pixels(bits, -(-width >> shift), -(-height >> shift)) >> 8) & 0xFFFF
     alphabet = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = read_groups(bits, alphabet, int(meta.max()) + 1 if meta is not None else 1)
-    total = width * height
+    return cache_bits, meta, shift, read_groups(bits, alphabet, int(meta.max()) + 1 if meta is not None else 1)
+
+
+def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
+    """An entropy-coded image as flat ARGB numbers."""
+    cache_bits, meta, shift, groups = read_codes(bits, width, height, main)
+    across, total = -(-width >> shift), width * height
     out: list[int] = []
     cache, hash_shift, hashed = [0] * (1 << cache_bits), 32 - cache_bits, 0
     ahead, append = bits.ahead, out.append
@@ -358,8 +384,8 @@ def bundle(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file, (height, width, 4) bytes in the order red, green, blue, alpha."""
+def opened(data: bytes) -> tuple[Bits, int, int]:
+    """The bits of a lossless WebP file after its header, its width and height."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = int.from_bytes(data[16:20], "little")
@@ -370,6 +396,12 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
+    return bits, width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of a lossless WebP file, (height, width, 4) bytes in the order red, green, blue, alpha."""
+    bits, width, height = opened(data)
     undo, w = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -400,9 +432,189 @@ def decode(data: bytes) -> np.ndarray:
     return channels(argb)[..., [2, 1, 0, 3]]
 
 
+# --- many images side by side ---
+
+
+class Lane(NamedTuple):
+    """An opaque image without transforms, of one group of codes, whose back-references are of one place."""
+
+    image: int
+    data: bytes
+    at: int
+    pixels: int
+    cache_bits: int
+    codes: list[Code]
+
+
+def lane_of(image: int, data: bytes) -> Lane | None:
+    bits, width, height = opened(data)
+    if width * height > MANY_PIXELS or bits.read(1):
+        return None
+    cache_bits, meta, _, groups = read_codes(bits, width, height, main=True)
+    green, _, _, alpha, far = groups[0]
+    if meta is not None or bits.at >= bits.size or not green.mask or alpha.mask or alpha.table[0] >> 4 != 255 or far.mask or far.table[0] >> 4 != 1:
+        return None
+    return Lane(image, bits.data, bits.at, width * height, cache_bits, groups[0][:3])
+
+
+class Lanes:
+    """The pixels of many images, decoded a pixel of each at a time."""
+
+    def __init__(self, lanes: list[Lane]):
+        self.lanes = lanes
+        codes = list({id(c): c for lane in lanes for c in lane.codes}.values())
+        base = dict(zip(map(id, codes), np.cumsum([0, *(len(c.table) for c in codes)]).tolist(), strict=False))
+        table = np.concatenate([c.table for c in codes])
+        self.symbol = table >> 4
+        self.run = (self.symbol > 255) & (self.symbol < 280)
+        # with the bits that tell a run's length
+        self.size = (table & 15) + np.where(self.run, np.maximum(self.symbol - 258, 0) >> 1, 0)
+        self.literal = np.where(self.symbol < 256, -1, 0)
+        # by lane: masks and places of the codes of green, red and blue
+        self.codes = np.array([[x for c in lane.codes for x in (c.mask, base[id(c)])] for lane in lanes], np.int64).T.copy()
+        sizes = np.array([len(lane.data) for lane in lanes])
+        first = np.cumsum(sizes) - sizes
+        buffer = b"".join(lane.data for lane in lanes) + bytes(16 * STEPS)
+        self.window = np.ndarray((len(buffer) - 7,), "<i8", buffer, strides=(1,)).astype(np.int64)
+        self.start, self.end = 8 * first + [lane.at for lane in lanes], 8 * (first + sizes)
+
+    def advanced(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The bits where each lane is before each of STEPS pixels (or references), and after them."""
+        out = np.empty((STEPS + 1, len(at)), np.int64)
+        out[0] = at
+        w, k, size, more = np.empty((4, len(at)), np.int64)
+        g_mask, g_base, r_mask, r_base, b_mask, b_base = codes
+        take, sizes, literal = self.window.take, self.size.take, self.literal.take
+        add, both, shift = np.add, np.bitwise_and, np.right_shift
+        for i in range(STEPS):
+            at = out[i]
+            take(shift(at, 3, out=k), out=w, mode="clip")
+            shift(w, both(at, 7, out=k), out=w)
+            sizes(add(both(w, g_mask, out=k), g_base, out=k), out=size, mode="clip")
+            at = add(at, size, out=out[i + 1])
+            shift(w, size, out=w)
+            literal(k, out=size, mode="clip")
+            sizes(add(both(w, r_mask, out=k), r_base, out=k), out=more, mode="clip")
+            shift(w, more, out=w)
+            sizes(add(both(w, b_mask, out=k), b_base, out=k), out=w, mode="clip")
+            add(at, both(add(w, more, out=w), size, out=w), out=at)
+        return out
+
+    def walked(self, lane: int, at: int) -> np.ndarray:
+        """The same for the rest of one lane."""
+        first, end = at >> 3, int(self.end[lane])
+        ahead = self.window[first : (end >> 3) + 1].tolist()
+        (g_mask, g), (r_mask, r), (b_mask, b) = ((c.mask, self.size[k : k + len(c.table)].tolist()) for c, k in zip(self.lanes[lane].codes, self.codes[1::2, lane].tolist(), strict=True))
+        literal = (self.literal[self.codes[1, lane] :][: len(g)] < 0).tolist()
+        at, end, out = at - 8 * first, end - 8 * first, []
+        while at < end:
+            out.append(at)
+            w = ahead[at >> 3] >> (at & 7)
+            k = w & g_mask
+            at += g[k]
+            if literal[k]:
+                w >>= g[k]
+                size = r[w & r_mask]
+                at += size + b[(w >> size) & b_mask]
+        return np.array([*out, at]) + 8 * first
+
+    def tokens(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What stands at these bits: an ARGB number, a place in the colour cache, or less the length of a run."""
+        g_mask, g_base, r_mask, r_base, b_mask, b_base = codes
+        w = self.window.take(at >> 3) >> (at & 7)
+        g = (w & g_mask) + g_base
+        w >>= self.size.take(g)
+        r = (w & r_mask) + r_base
+        w >>= self.size.take(r)
+        s = self.symbol.take(g)
+        out = 0xFF000000 | self.symbol.take(r) << 16 | s << 8 | self.symbol.take((w & b_mask) + b_base)
+        other = np.flatnonzero(s > 255)
+        if len(other):
+            s, g, at = s.flat[other], g.flat[other], at.flat[other]
+            extra = np.maximum(s - 258, 0) >> 1
+            size = self.size[g] - extra  # of the symbol alone
+            w = self.window[at + size >> 3] >> (at + size & 7)
+            length = np.where(s < 260, s - 255, (2 + (s & 1) << extra) + (w & (1 << extra) - 1) + 1)
+            out.flat[other] = np.where(s < 280, -length, s - 280)
+        return out
+
+    def read(self) -> list[np.ndarray | None]:
+        """The samples of each lane; None: what only the decoder of single images reads, or rejects."""
+        n = len(self.lanes)
+        live, at, codes = np.arange(n), self.start, self.codes
+        parts, count = [], np.zeros(n, np.int64)  # lanes, number of their first pixel, pixels, bits after them
+        while len(live) >= FEWEST_LANES:
+            bits = self.advanced(at, codes)
+            parts.append((live, count[live], self.tokens(bits[:-1], codes), bits[1:]))
+            count[live] += STEPS
+            keep = bits[-1] < self.end[live]
+            live, at, codes = live[keep], bits[-1][keep], codes[:, keep]
+        for lane, k in zip(live.tolist(), at.tolist(), strict=True):
+            bits = self.walked(lane, k)[:, None]
+            parts.append((np.array([lane]), count[[lane]], self.tokens(bits[:-1], self.codes[:, [lane]]), bits[1:]))
+            count[lane] += len(bits) - 1
+        first = np.cumsum(count) - count
+        token, after = np.empty((2, int(count.sum())), np.int64)
+        for lanes, k, t, b in parts:
+            place = first[lanes] + k + np.arange(len(t))[:, None]
+            token[place], after[place] = t, b
+        return self.samples(token, after, count)
+
+    def samples(self, token: np.ndarray, after: np.ndarray, count: np.ndarray) -> list[np.ndarray | None]:
+        n = len(self.lanes)
+        total, cache = np.array([lane.pixels for lane in self.lanes]), np.array([lane.cache_bits for lane in self.lanes])
+        length = np.where(token < 0, -token, 1)
+        end = np.cumsum(length)
+        first = np.cumsum(count) - count
+        end -= np.repeat(end[first] - length[first], count)  # pixels of the lane up to here
+        keep = np.flatnonzero(end - length < np.repeat(total, count))  # the rest are the bits that fill up the last byte
+        lane = np.repeat(np.arange(n), count)[keep]
+        token, after, length, end = token[keep], after[keep], length[keep], end[keep]
+        last = np.flatnonzero(np.concatenate((lane[1:] != lane[:-1], [True])))
+        fine = (end[last] == total) & (after[last] <= self.end)
+        start = np.concatenate(([0], last[:-1] + 1))
+        fine &= token[start] >= 0
+        hits = np.flatnonzero(cache[lane] > 0)
+        hits = hits[token[hits] >= 0]
+        if len(hits):  # a place holds the last pixel that hashes to it; hits and runs of one place leave it as it is
+            t, own = token[hits], lane[hits]
+            known = t >= 1 << 24
+            slot = np.where(known, (t * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache[own]), t) + (own << 12)
+            order = np.argsort(slot, kind="stable")
+            source = np.maximum.accumulate(np.where(known[order], np.arange(len(order)), 0))
+            fine[own[order][(slot[order[source]] != slot[order]) | ~known[order[source]]]] = False
+            token[hits[order]] = t[order[source]]
+        token = token[np.maximum.accumulate(np.where(token < 0, 0, np.arange(len(token))))]
+        x = channels(np.repeat(token, length).astype(np.uint32))
+        samples = np.ascontiguousarray(x[:, 2::-1]).reshape(-1)
+        ends = np.cumsum(np.add.reduceat(length, start)) * 3
+        return [samples[a:b] if ok else None for a, b, ok in zip([0, *ends[:-1].tolist()], ends.tolist(), fine.tolist(), strict=True)]
+
+
+def load_many(media: list[bytes]) -> list[np.ndarray]:
+    """The samples of images as flat bytes."""
+    lanes = [lane for i, data in enumerate(media) if (lane := lane_of(i, data))]
+    out: list[np.ndarray | None] = [None] * len(media)
+    for lane, samples in zip(lanes, Lanes(lanes).read() if lanes else (), strict=True):
+        out[lane.image] = samples
+    return [load(data) if samples is None else samples for data, samples in zip(media, out, strict=True)]
+
+
 # --- encoder ---
 
 
+def packed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n words of 64 bits with values below 2^57 from bits at on, in ascending order."""
+    values, shift, word = values.astype(np.uint64), (at & 63).astype(np.uint64), at >> 6
+    low = values << shift
+    high = np.where(shift > 0, values >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    out = np.zeros(n + 2, np.uint64)
+    out[word[first]] += np.add.reduceat(low, first)
+    out[word[first] + 1] += np.add.reduceat(high, first)
+    return out[:n].astype("<u8")
+
+
 class Writer:
     """Bits in reading order; numbers one by one or in arrays."""
 
@@ -418,16 +630,7 @@ class Writer:
         if not len(values):
             return
         ends = np.cumsum(sizes) + self.bits
-        at = ends - sizes
-        values, shift, word = values.astype(np.uint64), (at & 63).astype(np.uint64), at >> 6
-        n = int(ends[-1] + 63 >> 6) + 1
-        low = values << shift
-        high = np.where(shift > 0, values >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        out = np.zeros(n + 1, np.uint64)
-        out[word[first]] += np.add.reduceat(low, first)
-        out[word[first] + 1] += np.add.reduceat(high, first)
-        self.value |= int.from_bytes(out.astype("<u8").tobytes(), "little")
+        self.value |= int.from_bytes(packed(values, ends - sizes, int(ends[-1] + 63 >> 6)).tobytes(), "little")
         self.bits = int(ends[-1])
 
     def bytes(self) -> bytes:
@@ -541,6 +744,11 @@ def usual_lengths() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code_lengths(green.astype(int)), code_lengths(weight.astype(int)), code_lengths(weight.astype(int))
 
 
+def all_usual_lengths() -> tuple[np.ndarray, ...]:
+    # distance 1 is near offset 2, whose prefix symbol is 1
+    return (*usual_lengths(), np.bincount([255], minlength=256).astype(np.uint8), np.bincount([1], minlength=40).astype(np.uint8))
+
+
 def usual_is_near(counts: list[np.ndarray]) -> bool:
     """Whether codes of the image's own would save less than a sixth."""
     usual = own = 0.0
@@ -565,6 +773,12 @@ def entropy(counts: np.ndarray) -> float:
     return float((n * np.log2(n.sum() / n)).sum()) if len(n) else 0.0
 
 
+def entropies(counts: np.ndarray) -> np.ndarray:
+    """The same for each row."""
+    n = counts.astype(float)
+    return (n * np.log2(n.sum(-1, keepdims=True).clip(1) / n.clip(1))).sum(-1)
+
+
 def cache_hits(argb: np.ndarray, bits: int) -> np.ndarray:
     """Where in the colour cache each pixel stands, -1 where it isn't there."""
     slot = ((argb.astype(np.int64) * CACHE_MULTIPLIER) & 0xFFFFFFFF) >> (32 - bits)
@@ -583,11 +797,8 @@ def prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
 
 
-def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: int | None = 0) -> None:
-    """Entropy-code flat pixels: runs of one pixel as back-references of distance 1; cache_bits: of the colour cache,
-    None: CACHE_BITS where codes of the image's own are needed and the cache saves bits."""
-    n = len(argb)
-    same = np.concatenate(([False], argb[1:] == argb[:-1]))
+def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of references to the pixel before, given which pixels are like it, and which pixels they copy."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
     long = stops - starts >= 4
@@ -597,16 +808,24 @@ def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: in
         k = np.arange(int((whole + 1).sum())) - np.repeat(np.cumsum(whole + 1) - whole - 1, whole + 1)
         starts, ends = np.repeat(starts, whole + 1) + 4096 * k, np.repeat(stops, whole + 1)
         stops = np.minimum(starts + 4096, ends)
-    copied = np.zeros(n + 1, np.int8)
-    np.add.at(copied, starts, 1)
+    copied = np.zeros(len(same) + 1, np.int8)
+    copied[starts] += 1
     np.add.at(copied, stops, -1)
-    at = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
+    return starts, stops, np.cumsum(copied[:-1], dtype=np.int8) > 0
+
+
+def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: int | None = 0, near: bool | None = None) -> None:
+    """Entropy-code flat pixels: runs of one pixel as back-references of distance 1; cache_bits: of the colour cache,
+    None: CACHE_BITS where codes of the image's own are needed and the cache saves bits; near: what usual_is_near says,
+    where it's known."""
+    starts, stops, copied = runs(np.concatenate(([False], argb[1:] == argb[:-1])))
+    at = np.flatnonzero(~copied)
     x = channels(argb)[at]
     green = x[:, 1].astype(np.int64)
-    literal, near = np.ones(len(at), bool), None
+    literal = np.ones(len(at), bool)
     if cache_bits is None:
         cache_bits, plain = 0, [np.bincount(x[:, c], minlength=k) for c, k in ((1, 280), (2, 256), (0, 256))]
-        near = usual_is_near(plain)
+        near = usual_is_near(plain) if near is None else near
         if len(at) >= 64 and not near:
             found = cache_hits(argb, CACHE_BITS)[at]
             rest = x[found < 0]
@@ -624,8 +843,7 @@ def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: in
     run_symbol, run_extra, run_size = prefix_of(stops - starts) if len(starts) else (np.zeros(0, np.int64),) * 3
     counts = [np.bincount(np.concatenate((green, 256 + run_symbol)), minlength=280 + (1 << cache_bits if cache_bits else 0))]
     counts += [np.bincount(x[literal, c], minlength=256) for c in (2, 0, 3)]
-    # distance 1 is near offset 2, whose prefix symbol is 1
-    lengths = (*usual_lengths(), np.bincount([255], minlength=256).astype(np.uint8), np.bincount([1], minlength=40).astype(np.uint8))
+    lengths = all_usual_lengths()
     if cache_bits or not main or counts[3].sum() != counts[3][255] or not (usual_is_near(counts) if near is None else near):
         lengths = (*map(code_lengths, counts), lengths[4])
     for k in lengths:
@@ -647,7 +865,7 @@ def put_pixels(out: Writer, argb: np.ndarray, main: bool = False, cache_bits: in
 def chosen(argb: np.ndarray) -> tuple[tuple, ...]:
     """Transforms that an image's pixels gain from, by the entropy of what is left: the palette for up to 16 colours;
     else, where its bytes are not as uneven as those of text, subtract-green, predictors by block, and cross-colour."""
-    if len(np.unique(argb)) <= 16:
+    if len(np.unique(argb.reshape(-1)[:64])) <= 16 and len(np.unique(argb)) <= 16:
         return ((PALETTE,),)
     x = channels(argb)
     if entropy(np.bincount(x[..., :3].reshape(-1), minlength=256)) < TEXT_BITS * argb.size * 3:
@@ -680,7 +898,20 @@ def residuals(argb: np.ndarray, shift: int, modes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(((x - guess) & 255).astype(np.uint8)).view("<u4").reshape(argb.shape)
 
 
-def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] | None = (), cache_bits: int | None = 0) -> bytes:
+def put_head(out: Writer, w: int, h: int, alpha: bool) -> None:
+    out.put(0x2F, 8)
+    out.put(w - 1, 14)
+    out.put(h - 1, 14)
+    out.put(alpha, 1)
+    out.put(0, 3)
+
+
+def file_of(body: bytes) -> bytes:
+    pad = len(body) & 1
+    return b"RIFF" + (12 + len(body) + pad).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + bytes(pad)
+
+
+def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] | None = (), cache_bits: int | None = 0, near: bool | None = None) -> bytes:
     """A lossless WebP file of (height, width, 4) bytes red, green, blue, alpha.
 
     transforms, in order: (PREDICTOR, shift, modes), (CROSS_COLOUR, shift, elements), (SUBTRACT_GREEN,), (PALETTE,);
@@ -692,11 +923,7 @@ def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] | None = (), cache_
     argb = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).view("<u4").reshape(h, w)
     transforms = chosen(argb) if transforms is None else transforms
     out = Writer()
-    out.put(0x2F, 8)
-    out.put(w - 1, 14)
-    out.put(h - 1, 14)
-    out.put(int((pixels[..., 3] != 255).any()), 1)
-    out.put(0, 3)
+    put_head(out, w, h, bool((pixels[..., 3] != 255).any()))
     for kind, *rest in transforms:
         out.put(1, 1)
         out.put(kind, 2)
@@ -724,25 +951,91 @@ def encode(pixels: np.ndarray, transforms: tuple[tuple, ...] | None = (), cache_
             packed = (index.reshape(h, -1, 1 << share) << (np.arange(1 << share) * (8 >> share))).sum(-1)
             argb = (0xFF000000 | packed << 8).astype(np.uint32)
     out.put(0, 1)
-    put_pixels(out, argb.reshape(-1).astype("<u4"), main=True, cache_bits=cache_bits)
-    body = out.bytes()
-    pad = len(body) & 1
-    return b"RIFF" + (12 + len(body) + pad).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + bytes(pad)
+    put_pixels(out, argb.reshape(-1).astype("<u4"), main=True, cache_bits=cache_bits, near=near)
+    return file_of(out.bytes())
 
 
 # --- the column operator ---
 
 
-def store(payload: bytes) -> bytes:
-    """Bytes, a positive multiple of 576 of them, as a lossless WebP image."""
+def pixels_of(payload: bytes) -> np.ndarray:
+    """The pixels that hold the bytes, a positive multiple of 576 of them."""
     rows = len(payload) // UNIT
     across = -(-rows // MAX_SIDE)
     down = -(-rows // across)
     pixels = np.zeros((across * down * 192, 4), np.uint8)
     pixels[: rows * 192, :3] = np.frombuffer(payload, np.uint8).reshape(-1, 3)
     pixels[: rows * 192, 3] = 255  # pixels that fill up the last row are transparent
-    pixels = pixels.reshape(down, across * 192, 4)
-    return encode(pixels, None, None)
+    return pixels.reshape(down, across * 192, 4)
+
+
+def store(payload: bytes) -> bytes:
+    """Bytes, a positive multiple of 576 of them, as a lossless WebP image."""
+    return encode(pixels_of(payload), None, None)
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """What store gives for each; images of text with the usual codes are made side by side."""
+    side = [i for i, p in enumerate(payloads) if len(p) <= 3 * MANY_PIXELS]  # these are 192 pixels wide
+    out: list[bytes] = [b""] * len(payloads)
+    if side:
+        x = np.frombuffer(b"".join(payloads[i] for i in side), np.uint8).reshape(-1, 3)
+        count = np.array([len(payloads[i]) // 3 for i in side])
+        first, own = np.cumsum(count) - count, np.repeat(np.arange(len(side)), count)
+        argb = (x[:, 0].astype(np.uint32) << 16) | (x[:, 1].astype(np.uint32) << 8) | x[:, 2]
+        same = np.concatenate(([False], argb[1:] == argb[:-1]))
+        same[first] = False
+        starts, stops, copied = runs(same)
+        tally = lambda at: [np.bincount((own[at] << 8) + x[at, c], minlength=len(side) << 8).reshape(-1, 256) for c in (1, 0, 2)]
+        whole = tally(slice(None))
+        # as in chosen: no palette (one of 16 colours has 16 values a channel at most), and bytes as uneven as those of text
+        text = (np.max([(k > 0).sum(-1) for k in whole], axis=0) > 16) & (entropies(sum(whole)) < TEXT_BITS * 3 * count)
+        # as in usual_is_near
+        rest = [a - b for a, b in zip(whole, tally(copied), strict=True)]
+        usual = sum((n * k[:256]).sum(-1) for n, k in zip(rest, usual_lengths(), strict=True))
+        near = 5.0 * usual <= 6 * sum(entropies(n) + 6 * (n > 0).sum(-1) + 60 for n in rest)
+        for i, body in zip(np.flatnonzero(text & near).tolist(), usual_bodies(x, count, text & near, starts, stops, copied), strict=True):
+            out[side[i]] = file_of(body)
+        for i in np.flatnonzero(text & ~near).tolist():
+            out[side[i]] = encode(pixels_of(payloads[side[i]]), (), None, near=False)
+    return [media or store(p) for p, media in zip(payloads, out, strict=True)]
+
+
+def usual_bodies(x: np.ndarray, count: np.ndarray, picked: np.ndarray, starts: np.ndarray, stops: np.ndarray, copied: np.ndarray) -> list[bytes]:
+    """The streams with the usual codes of the picked ones of the images that lie one after another in x."""
+    if not picked.any():
+        return []
+    head, lengths = Writer(), all_usual_lengths()
+    put_head(head, 1, 1, False)
+    head.put(0, 3)  # no transform, colour cache or meta image
+    for k in lengths:
+        head.put(*code_bits(k.tobytes()))
+    (g, g_size), (r, r_size), (b, b_size) = (code_table(k.tobytes()) for k in lengths[:3])
+    size = g_size[x[:, 1]]
+    value = g[x[:, 1]] | r[x[:, 0]] << size
+    size += r_size[x[:, 0]]
+    value |= b[x[:, 2]] << size
+    size += b_size[x[:, 2]]
+    symbol, extra, more = prefix_of(stops - starts)
+    value[starts], size[starts] = g[256 + symbol] | extra << g_size[256 + symbol], g_size[256 + symbol] + more
+    used = np.repeat(picked, count)
+    there = ~copied
+    there[starts] = True
+    at = np.flatnonzero(there & used)
+    value, size = value[at], size[at]
+    last = np.cumsum(np.add.reduceat(np.concatenate((there, [0])), np.cumsum(count) - count)[picked])
+    ends = np.cumsum(size)
+    own = np.diff(ends[last - 1], prepend=0) + head.bits  # bits of each image
+    words = -(-own // 64)
+    word = np.cumsum(words) - words
+    images = np.repeat(np.arange(len(last)), np.diff(last, prepend=0))
+    before = np.concatenate(([0], ends[last[:-1] - 1]))
+    out = packed(value, ends - size + (64 * word + head.bits - before)[images], int(words.sum()))
+    fixed = np.frombuffer(head.value.to_bytes(-(-head.bits // 64) * 8, "little"), "<u8")
+    out[word[:, None] + np.arange(len(fixed))] |= fixed
+    out[word] |= (191 << 8 | (count[picked] // 192 - 1) << 22).astype(np.uint64)
+    data = out.tobytes()
+    return [data[8 * i : 8 * i + (n + 7) // 8] for i, n in zip(word.tolist(), own.tolist(), strict=True)]
 
 
 def load(media: bytes) -> np.ndarray:
@@ -766,17 +1059,13 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in (c.slice(k, MANY) for c in blocks(batch, "text", BLOCK) for k in range(0, c.num_rows, MANY)):
                 data, offsets = utf8(b.column("text"))
-                raw, rows, kept = data.tobytes(), [], []
-                for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    size = max(1, -(-(j - i) // UNIT)) * UNIT
-                    media = store(raw[i:j].ljust(size, b"\xff"))
-                    samples = load(media)
+                raw, rows, sizes = data.tobytes(), [], np.diff(offsets).tolist()
+                kept = store_many([raw[i : i + n].ljust(max(1, -(-n // UNIT)) * UNIT, b"\xff") for i, n in zip(offsets.tolist(), sizes, strict=False)])
+                for n, media, samples in zip(sizes, kept, load_many(kept), strict=True):
                     back = samples.tobytes()
-                    rows.append((j - i, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
-                    if keep_media:
-                        kept.append(media)
+                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 cols = [b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_media, [x.split()[0] for x in SCHEMA.split(", ")] + ["media"] * keep_media)

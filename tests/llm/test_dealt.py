@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -259,6 +260,53 @@ def test_webp_rejects_cut_files():
         webp.decode(data[:60])
 
 
+def webp_payloads():
+    rng = np.random.default_rng(11)
+    words = [w.encode() for w in LONG.split()[:9] + ["Straße", "naïve", "Жук", "42", "\n", " " * 40]]
+    texts = [b" ".join(words[k] for k in rng.integers(0, len(words), n)) for n in rng.integers(0, 700, 120).tolist()]
+    texts += [bytes(rng.choice(list(b"qxzjkvwQXZJK#@~^"), n).tolist()) * 9 for n in (5, 60, 200, 900)]  # codes of their own
+    texts += [b"".join(rng.choice([b"abc", b"xyz", b"QQQ", b"~~~"] + [bytes([97 + k, 98, 99]) for k in range(20)], 3000).tolist())]  # colour cache
+    texts += [b"", b"a", b"x" * 40000, b"y, z " * 20 + b" " * 30000 + b"end", bytes(range(256)) * 9, rng.integers(0, 256, 5000).astype(np.uint8).tobytes()]
+    texts += [t * 30 for t in texts[:2]] + ["Простой текст на русском языке. ".encode() * 99]
+    return [t.ljust(max(1, -(-len(t) // 576)) * 576, b"\xff") for t in texts]
+
+
+def test_webp_side_by_side():
+    payloads = webp_payloads()
+    media = webp.store_many(payloads)
+    assert media == [webp.store(p) for p in payloads] == [webp.store_many([p])[0] for p in payloads]
+    read = webp.load_many(media)
+    assert [x.tobytes() for x in read] == payloads == [x.tobytes() for m in media for x in webp.load_many([m])]
+    assert webp.store_many([]) == webp.load_many([]) == []
+    # most of them don't take the way of single images, those with a colour cache neither
+    lanes = [lane for i, m in enumerate(media) if (lane := webp.lane_of(i, m))]
+    assert len(lanes) > len(media) - 12 and {lane.cache_bits > 0 for lane in lanes} == {True, False}
+    assert all(x is not None for x in webp.Lanes(lanes).read())
+    # what the side-by-side decoder doesn't know
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 9, (7, 192, 4)).astype(np.uint8)
+    image[..., 3] = 255
+    transforms = ((webp.PREDICTOR, 2, rng.integers(0, 14, (2, 48))), (webp.SUBTRACT_GREEN,))
+    odd = [webp.encode(image, t, c) for t in ((), transforms) for c in (0, 1, 7, 11)]
+    assert all((x == image[..., :3].reshape(-1)).all() for x in webp.load_many(odd + media[:60])[: len(odd)])
+    for cut in (media[3][:-40], media[3][:45]):
+        with pytest.raises(ValueError):
+            webp.load_many([*media[:60], cut])
+
+
+def test_webp_side_by_side_takes_half_the_time():
+    rng = np.random.default_rng(12)
+    payloads = [(LONG[k : k + n]).encode().ljust(-(-n // 576) * 576, b"\xff") for k, n in rng.integers(1, 3000, (600, 2)).tolist()]
+
+    def took(f):
+        at = time.process_time()
+        f()
+        return time.process_time() - at
+
+    one = min(took(lambda: [webp.load(webp.store(p)) for p in payloads]) for _ in range(2))
+    assert min(took(lambda: webp.load_many(webp.store_many(payloads))) for _ in range(2)) < one / 2
+
+
 def test_webp_many_rows():
     # 16411 rows (prime) need two columns of rows, the last half filled up
     payload = np.random.default_rng(1).integers(97, 105, 576 * 16411).astype(np.uint8).tobytes()
