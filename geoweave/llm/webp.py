@@ -55,12 +55,15 @@ NEAR = (
 )
 CACHE_MULTIPLIER = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+REVERSED = sum((np.arange(1 << 15) >> k & 1) << (14 - k) for k in range(15))
 #: Size of the colour cache that is tried; bits a byte from which transforms are tried.
 CACHE_BITS, TEXT_BITS = 6, 6.0
 #: Images are read side by side so many pixels at a time, and one by one when fewer than this are left.
 STEPS, FEWEST_LANES = 32, 32
 #: Larger images are stored and read one by one. Bytes of text and images that are stored and read side by side.
 MANY_PIXELS, BLOCK, MANY = 1 << 20, 1 << 22, 2048
+#: Places in the tables of codes that are held at once.
+TABLES = 1 << 21
 
 
 # --- prefix codes ---
@@ -74,10 +77,7 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = int(size[-1])
     space = np.left_shift(1, top - size)
     code = (np.cumsum(space) - space) >> (top - size)
-    out = np.zeros_like(code)
-    for k in range(top):
-        out |= ((code >> k) & 1) << np.maximum(size - 1 - k, 0)
-    return used, out
+    return used, REVERSED[(code << (15 - size)) & 0x7FFF]
 
 
 class Code:
@@ -593,10 +593,17 @@ class Lanes:
 
 def load_many(media: list[bytes]) -> list[np.ndarray]:
     """The samples of images as flat bytes."""
-    lanes = [lane for i, data in enumerate(media) if (lane := lane_of(i, data))]
     out: list[np.ndarray | None] = [None] * len(media)
-    for lane, samples in zip(lanes, Lanes(lanes).read() if lanes else (), strict=True):
-        out[lane.image] = samples
+    lanes, codes, places = [], set(), 0
+    for i, data in enumerate(media):
+        if lane := lane_of(i, data):
+            lanes.append(lane)
+            places += sum(len(c.table) for c in {id(c): c for c in lane.codes if id(c) not in codes}.values())
+            codes.update(map(id, lane.codes))
+        if lanes and (i == len(media) - 1 or places > TABLES):
+            for lane, samples in zip(lanes, Lanes(lanes).read(), strict=True):
+                out[lane.image] = samples
+            lanes, codes, places = [], set(), 0
     return [load(data) if samples is None else samples for data, samples in zip(media, out, strict=True)]
 
 
@@ -687,10 +694,10 @@ def put_code(out: Writer, lengths: np.ndarray) -> None:
             tokens.append((16, take - 3, 2) if v else (17, take - 3, 3) if take <= 10 else (18, take - 11, 7))
             n -= take
         tokens += [(v, 0, 0)] * n
-    first = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    if (first > 0).sum() == 1:
-        first[0 if first[0] == 0 else 1] = 1  # keep the inner code complete
-    codes = dict(zip(*(x.tolist() for x in canonical(first)), strict=True))
+    inner = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    if (inner > 0).sum() == 1:
+        inner[0 if inner[0] == 0 else 1] = 1  # keep the inner code complete
+    codes, first = dict(zip(*(x.tolist() for x in canonical(inner)), strict=True)), inner.tolist()
     out.put(0, 1)
     n = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if first[s]) + 1)
     out.put(n - 4, 4)
@@ -704,8 +711,11 @@ def put_code(out: Writer, lengths: np.ndarray) -> None:
         out.put(len(tokens) - 2, size)
     else:
         out.put(0, 1)
+    value = size = 0
     for s, extra, k in tokens:
-        out.put(codes[s] | extra << int(first[s]), int(first[s]) + k)
+        value |= (codes[s] | extra << first[s]) << size
+        size += first[s] + k
+    out.put(value, size)
 
 
 @functools.lru_cache(64)

@@ -271,7 +271,7 @@ def webp_payloads():
     return [t.ljust(max(1, -(-len(t) // 576)) * 576, b"\xff") for t in texts]
 
 
-def test_webp_side_by_side():
+def test_webp_side_by_side(monkeypatch):
     payloads = webp_payloads()
     media = webp.store_many(payloads)
     assert media == [webp.store(p) for p in payloads] == [webp.store_many([p])[0] for p in payloads]
@@ -292,6 +292,23 @@ def test_webp_side_by_side():
     for cut in (media[3][:-40], media[3][:45]):
         with pytest.raises(ValueError):
             webp.load_many([*media[:60], cut])
+    monkeypatch.setattr(webp, "TABLES", 5000)  # in several goes
+    assert [x.tobytes() for x in webp.load_many(media)] == payloads
+
+
+def test_webp_codes():
+    rng = np.random.default_rng(13)
+    for n in (2, 3, 40, 256, 2328):
+        lengths = webp.code_lengths(rng.geometric(0.01, n))
+        symbols, codes = webp.canonical(lengths)
+        # in reading order no code begins another, and codes of one length ascend with their symbols
+        bits = [f"{c:0{lengths[s]}b}"[::-1] for s, c in zip(symbols.tolist(), codes.tolist(), strict=True)]
+        assert bits == sorted(bits) and not any(b.startswith(a) for a, b in zip(bits, bits[1:], strict=False))
+        table = webp.Code(lengths).table
+        assert all(table[c] == s << 4 | int(lengths[s]) for s, c in zip(symbols.tolist(), codes.tolist(), strict=True))
+    for lengths in ([1] * 3, [1] * 5, [2, 2, 2], [15] * 40):
+        with pytest.raises(ValueError):
+            webp.Code(np.array(lengths, np.uint8))
 
 
 def test_webp_side_by_side_takes_half_the_time():
